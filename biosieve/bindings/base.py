@@ -55,13 +55,13 @@ def sql(body: str, *frames: str, ctes: str = "") -> str:
     return f"WITH {', '.join(parts)} {body}" if parts else body
 
 
-def r6(df: DataFrame, *cols: str) -> DataFrame:
-    """Round the named columns to 6 places (never -0.0)."""
-    return df.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in cols})
+def r6(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+    """Round the named columns (never to -0.0)."""
+    return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in cols})
 
 
-def r6_sql(*cols: str) -> str:
-    return ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in cols)
+def r6_sql(*cols: str, places: int = 6) -> str:
+    return ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in cols)
 
 
 # occurrences: 150 species, coordinates on a 0.1 degree lattice

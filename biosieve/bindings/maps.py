@@ -13,7 +13,7 @@ from biosieve.operators import matching as M
 from biosieve.operators import spatial as X
 from biosieve.operators import stats as S
 from biosieve.sources.geography import Grid, load_cells, load_polygons, polygon_edges
-from biosieve.session import scratch_path
+from biosieve.session import durable, scratch_path
 
 # ---- regions ----------------------------------------------------------------------------------
 
@@ -203,17 +203,17 @@ _REGRID = f"""fine AS (SELECT r * 320 + c AS cell_id, -150 + (c + 0.5::DOUBLE) *
 def _regrid_sql(na_rm):
     value = (lambda v: f"sum(w * {v}) / sum(CASE WHEN {v} IS NOT NULL THEN w END)") if na_rm else (lambda v: f"CASE WHEN count({v}) = count(*) THEN sum(w * {v}) END")
     vals = ", ".join(f"{value(v)} AS {v}" for v in LAYERS)
-    return f"SELECT cell_id, {r6_sql(*LAYERS)} FROM (SELECT p.cell_id, {vals} FROM pieces p LEFT JOIN cells c ON p.row = c.row AND p.col = c.col WHERE w > 0 GROUP BY p.cell_id)"
+    return f"SELECT cell_id, {r6_sql(*LAYERS, places=10)} FROM (SELECT p.cell_id, {vals} FROM pieces p LEFT JOIN cells c ON p.row = c.row AND p.col = c.col WHERE w > 0 GROUP BY p.cell_id)"
 
 
 @query("regrid", sql(_regrid_sql(False), "gridded", ctes=f"{_CELLS}, {_REGRID}"))
 def _(spark, sf):
-    return r6(G.regrid(_cells(spark, sf), WORLD, FINE, LAYERS), *LAYERS).select("cell_id", *LAYERS)
+    return r6(G.regrid(_cells(spark, sf), WORLD, FINE, LAYERS), *LAYERS, places=10).select("cell_id", *LAYERS)
 
 
 @query("regrid_renormalised", sql(_regrid_sql(True), "gridded", ctes=f"{_CELLS}, {_REGRID}"))
 def _(spark, sf):
-    return r6(G.regrid(_cells(spark, sf), WORLD, FINE, LAYERS, na_rm=True), *LAYERS).select("cell_id", *LAYERS)
+    return r6(G.regrid(_cells(spark, sf), WORLD, FINE, LAYERS, na_rm=True), *LAYERS, places=10).select("cell_id", *LAYERS)
 
 
 @query("target_cells", sql(f"SELECT region AS target, {r6_sql('target_x', 'target_y', *LAYERS)}, cell_id FROM (SELECT *, x AS target_x, y AS target_y FROM cells JOIN inside USING (cell_id))",
@@ -291,7 +291,8 @@ def climate_vectors(spark, sf):
 
 
 def occurrences_and_targets(spark, sf):
-    z = climate_vectors(spark, sf)
+    # standardised layers are stored once and read by everything that follows
+    z = durable(climate_vectors(spark, sf))
     occ = z.select(F.concat(F.lit("sp_"), F.col("label").cast("string")).alias("species"), *BIO)
     # regions are cut across the species, so that a region meets its cells' own and other species
     targets = z.select(

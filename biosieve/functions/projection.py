@@ -45,19 +45,19 @@ def to_mollweide(
 def from_mollweide(
     df: DataFrame, x: str = "x", y: str = "y", lon: str = "lon", lat: str = "lat"
 ) -> DataFrame:
-    """Add degrees ``lon``, ``lat`` for Mollweide metres; NULL outside the map's ellipse."""
+    """Add degrees ``lon``, ``lat`` for Mollweide metres; NULL outside the map's ellipse.
+
+    Points a rounding error beyond the edge are taken as on it; a pole gets longitude 0.
+    """
     s = F.col(y) / (MAP_RADIUS * math.sqrt(2))
+    flat = F.cos("_t") < 1e-9
+    sine = (2 * F.col("_t") + F.sin(2 * F.col("_t"))) / math.pi
+    clamp = lambda v, limit: F.greatest(F.lit(-limit), F.least(F.lit(limit), v))
     return (
-        df.withColumn("_t", F.when(F.abs(s) <= 1, F.asin(s)))
-        .withColumn("_lon", math.pi * F.col(x) / (2 * MAP_RADIUS * math.sqrt(2) * F.cos("_t")))
-        .withColumn(lon, F.when(F.abs("_lon") <= math.pi + 1e-12, F.degrees("_lon")))
-        .withColumn(
-            lat,
-            F.when(
-                F.col(lon).isNotNull(),
-                F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (2 * F.col("_t") + F.sin(2 * F.col("_t"))) / math.pi)))),
-            ),
-        )
+        df.withColumn("_t", F.when(F.abs(s) <= 1 + 1e-12, F.asin(clamp(s, 1.0))))
+        .withColumn("_lon", F.when(flat, 0.0).otherwise(math.pi * F.col(x) / (2 * MAP_RADIUS * math.sqrt(2) * F.cos("_t"))))
+        .withColumn(lon, F.when(F.abs("_lon") <= math.pi + 1e-8, F.degrees(clamp(F.col("_lon"), math.pi))))
+        .withColumn(lat, F.when(F.col(lon).isNotNull(), F.degrees(F.asin(clamp(sine, 1.0)))))
         .drop("_t", "_lon")
     )
 

@@ -52,18 +52,26 @@ def point_climate(
 
 
 def principal_axes(cells: DataFrame, layers: Sequence[str], count: int = 2) -> list[list[float]]:
-    """Directions of largest spread of the layers, for use as join keys.
+    """Orthonormal directions along which the z-scored layers spread most, for use as join keys.
 
-    One aggregation yields the covariance matrix (layers x layers numbers), whose size does not
-    depend on the data.
+    One aggregation yields the matrix of summed products (layers x layers numbers), whose size does
+    not depend on the data. Any orthonormal axes give the same scores; good ones prune more pairs.
     """
     k = len(layers)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    row = with_all_layers(cells, layers).agg(*[F.covar_pop(layers[i], layers[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
-    cov = np.zeros((k, k))
-    for i, j in pairs:
-        cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
-    return np.linalg.eigh(cov)[1][:, ::-1].T[:count].tolist()
+    upper = F.expr("flatten(transform(sequence(1, size(v)), i -> transform(slice(v, i, size(v)), w -> v[i - 1] * w)))")
+    rows = (
+        with_all_layers(cells, layers)
+        .select(F.array(*layers).alias("v"))
+        .select(F.posexplode(upper).alias("at", "product"))
+        .groupBy("at")
+        .agg(F.sum("product").alias("s"))
+        .collect()
+    )
+    products = np.zeros((k, k))
+    i, j = np.triu_indices(k)
+    for row in rows:
+        products[i[row["at"]], j[row["at"]]] = products[j[row["at"]], i[row["at"]]] = row["s"]
+    return np.linalg.eigh(products)[1][:, ::-1].T[:count].tolist()
 
 
 def climate_match(
@@ -101,12 +109,15 @@ def climate_match(
     tgt = with_all_layers(targets, layers).select(*TARGET, *[F.col(v).alias(f"t_{v}") for v in layers])
 
     def along(axis: list[float], prefix: str) -> Column:
-        return sum((F.col(f"{prefix}{v}") * float(w) for v, w in zip(layers, axis)), F.lit(0.0))
+        return F.expr(" + ".join(f"`{prefix}{v}` * {float(w)!r}D" for v, w in zip(layers, axis)))
 
+    # keys are never NULL and say so: the optimizer would otherwise push NULL tests over all layers
+    # below their renaming and rewrite them for every combination of names (see with_all_layers)
     for b, axis in zip(bins, axes):
-        occ = occ.withColumn(b, F.floor(along(axis, "") / radius).cast("int"))
+        occ = occ.withColumn(b, F.coalesce(F.floor(along(axis, "") / radius).cast("int"), F.lit(0)))
         p = along(axis, "t_")
-        tgt = tgt.withColumn(b, F.explode(F.sequence(F.floor((p - radius) / radius).cast("int"), F.floor((p + radius) / radius).cast("int"))))
+        reach = F.sequence(F.floor((p - radius) / radius).cast("int"), F.floor((p + radius) / radius).cast("int"))
+        tgt = tgt.withColumn(b, F.explode_outer(reach))
 
     # blocks per bin, from the row counts of both sides; bins with one side only drop out
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / rows_per_task)).cast("int")
@@ -119,7 +130,7 @@ def climate_match(
     left = occ.join(sizes, bins).withColumn("_i", F.pmod(F.xxhash64("species", *layers), F.col("_ob")).cast("int")).withColumn("_j", upto("_tb"))
     right = tgt.join(sizes, bins).withColumn("_j", F.pmod(F.xxhash64(*[f"t_{v}" for v in layers]), F.col("_tb")).cast("int")).withColumn("_i", upto("_ob"))
     key = [*bins, "_i", "_j"]
-    squared = sum(((F.col(v) - F.col(f"t_{v}")) * (F.col(v) - F.col(f"t_{v}")) for v in layers), F.lit(0.0))
+    squared = F.expr(" + ".join(f"(`{v}` - `t_{v}`) * (`{v}` - `t_{v}`)" for v in layers))
     pairs = (
         left.select(*key, "species", "_n", *layers)
         .join(right.select(*key, *TARGET, *[f"t_{v}" for v in layers]), key)
