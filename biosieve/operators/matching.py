@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from biosieve.session import spread, task_count
 from biosieve.sources.geography import Grid
 
 # Fixed value: the largest climate distance with a non-zero score.
@@ -132,8 +133,8 @@ def climate_match(
     key = [*bins, "_i", "_j"]
     squared = F.expr(" + ".join(f"(`{v}` - `t_{v}`) * (`{v}` - `t_{v}`)" for v in layers))
     pairs = (
-        left.select(*key, "species", "_n", *layers)
-        .join(right.select(*key, *TARGET, *[f"t_{v}" for v in layers]), key)
+        spread(left.select(*key, "species", "_n", *layers), *key)
+        .join(spread(right.select(*key, *TARGET, *[f"t_{v}" for v in layers]), *key), key)
         .select("species", *TARGET, "_n", squared.alias("_d2"))
         .filter(F.col("_d2") <= radius * radius)
     )
@@ -149,12 +150,13 @@ def climate_match(
     return complete_scores(scored, occ.select("species").distinct(), tgt.select(*TARGET).distinct()) if fill_zero else scored
 
 
-def complete_scores(scored: DataFrame, species: DataFrame, cells: DataFrame, parts: int = 64) -> DataFrame:
+def complete_scores(scored: DataFrame, species: DataFrame, cells: DataFrame) -> DataFrame:
     """Add a zero score for each species and cell without one (the size of the result, by definition).
 
-    Species are spread over ``parts`` keys and the cell list visits each key, so the rows to
-    produce are shared evenly without broadcasting either list.
+    Species are spread over as many keys as tasks and the cell list visits each key, so the rows
+    to produce are shared evenly without broadcasting either list.
     """
+    parts = task_count(species.sparkSession)
     a = species.withColumn("_p", F.pmod(F.xxhash64("species"), F.lit(parts)).cast("int"))
     b = cells.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keys = ["species", *TARGET]

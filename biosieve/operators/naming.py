@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biosieve.functions.names import canonical_key
+from biosieve.session import spread, task_count
 
 # lengths of the text pieces used as join keys, longest first
 _PIECES = (12, 3)
@@ -49,19 +50,21 @@ def _pieces(name: Column) -> Column:
     return F.array_distinct(F.concat(*[of(n) for n in _PIECES]))
 
 
-def _pattern_hits(names: DataFrame, patterns: DataFrame, literal: bool, parts: int = 64) -> DataFrame:
+def _pattern_hits(names: DataFrame, patterns: DataFrame, literal: bool) -> DataFrame:
     """Distinct (``_name``, ``_pattern``) pairs where the pattern occurs in the name.
 
     Patterns with required text meet only names that contain a piece of it. For the rest the names
-    are spread over ``parts`` keys that each hold the patterns: such a pattern has to be tried on
-    every distinct name, and this shares the work without broadcasting.
+    are spread over keys that each hold the patterns: such a pattern has to be tried on every
+    distinct name, and this shares the work evenly without broadcasting.
     """
+    parts = task_count(names.sparkSession)
     test = F.contains(F.col("_name"), F.col("_pattern")) if literal else F.expr("_name RLIKE _pattern")
     text = F.col("_pattern") if literal else _required_text(F.col("_pattern"))
     keyed = patterns.withColumn("_piece", _piece(text))
     by_piece = names.withColumn("_piece", F.explode(_pieces(F.col("_name")))).join(keyed.filter(F.col("_piece").isNotNull()), "_piece")
     rest = keyed.filter(F.col("_piece").isNull()).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    by_part = names.withColumn("_part", F.pmod(F.xxhash64("_name"), F.lit(parts)).cast("int")).join(rest, "_part")
+    by_part = names.withColumn("_part", F.pmod(F.xxhash64("_name"), F.lit(parts)).cast("int"))
+    by_part = spread(by_part, "_part").join(spread(rest, "_part"), "_part")
     return by_piece.select("_name", "_pattern").unionByName(by_part.select("_name", "_pattern")).filter(test)
 
 
@@ -87,15 +90,25 @@ def remove_regulated(names: DataFrame, patterns: DataFrame, name: str, pattern:
     return names.join(hit, F.col(name) == F.col("_name"), "left_anti")
 
 
-def _shortened(name: Column, max_edits: int) -> Column:
-    """The name and all forms with up to ``max_edits`` letters removed."""
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
-    one = lambda s: F.when(F.length(s) > 0, cut(s)).otherwise(F.array(F.lit("")))
-    forms = layer = F.array(name)
+def _shortened(names: DataFrame, name: str, max_edits: int) -> DataFrame:
+    """Hashes ``_f`` of each name and of all its forms with up to ``max_edits`` letters removed.
+
+    Letters are removed from left to right, each form remembering where it was last cut, so that
+    every choice of letters is formed once. Each removal is a plain expansion of rows, which stays
+    in compiled code.
+    """
+    text, at = F.col("_text"), F.col("_at")
+    layer = spread(names, name).select(name, F.col(name).alias("_text"), F.lit(1).alias("_at"))
+    forms = layer
     for _ in range(max_edits):
-        layer = F.array_distinct(F.flatten(F.transform(layer, one)))
-        forms = F.concat(forms, layer)
-    return F.array_distinct(forms)
+        places = layer.filter(at <= F.length(text)).withColumn("_i", F.explode_outer(F.sequence(at, F.length(text))))
+        layer = places.select(
+            name,
+            F.concat(F.substring(text, F.lit(1), F.col("_i") - 1), F.substring(text, F.col("_i") + 1, F.length(text))).alias("_text"),
+            F.col("_i").alias("_at"),
+        )
+        forms = forms.unionByName(layer)
+    return forms.select(name, F.xxhash64("_text").alias("_f"))
 
 
 def resolve_names(
@@ -112,11 +125,10 @@ def resolve_names(
     """
     left = names.select(F.col(name).alias("submitted_name")).filter(F.col("submitted_name").isNotNull()).distinct().withColumn("_a", canonical_key("submitted_name"))
     right = reference.select("matched_name", "data_source_title").filter(F.col("matched_name").isNotNull()).distinct().withColumn("_b", canonical_key("matched_name"))
-    a, b = left.select("_a").distinct(), right.select("_b").distinct()
-    form = lambda c: F.explode(F.transform(_shortened(F.col(c), max_edits), lambda s: F.xxhash64(s)))
+    a = _shortened(left.select("_a").distinct(), "_a", max_edits)
+    b = _shortened(right.select("_b").distinct(), "_b", max_edits)
     pairs = (
-        a.withColumn("_f", form("_a"))
-        .join(b.withColumn("_f", form("_b")), "_f")
+        a.join(b, "_f")
         .select("_a", "_b")
         .distinct()
         .withColumn("_d", F.levenshtein("_a", "_b", max_edits))

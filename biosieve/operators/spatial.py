@@ -29,7 +29,7 @@ def _parity_hits(points: DataFrame, edges: DataFrame, x: str, y: str) -> DataFra
     px, py = F.col(x), F.col(y)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     straddles = (y1 > py) != (y2 > py)
-    crossing = straddles & (px < (x2 - x1) * (py - y1) / (y2 - y1) + x1)
+    crossing = straddles & (px < F.try_divide((x2 - x1) * (py - y1), y2 - y1) + x1)
     on_edge = (
         ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
         & px.between(F.least(x1, x2), F.greatest(x1, x2))

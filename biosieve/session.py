@@ -51,3 +51,17 @@ def durable(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(_checkpoint_root(spark))
     return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Number of tasks that keeps the whole cluster busy."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle rows by ``keys`` into one partition per task.
+
+    Adaptive execution merges partitions that are small in bytes; ahead of work that multiplies its
+    rows, that would leave most of the cluster idle, so the number of partitions is fixed here.
+    """
+    return df.repartition(task_count(df.sparkSession), *keys)
