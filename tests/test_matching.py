@@ -40,16 +40,16 @@ def _scores(occ, tgt, species):
     return {(f"s{s}", float(j)): sorted(score[species == s, j], reverse=True) for s in set(species) for j in range(len(tgt))}
 
 
-@pytest.mark.parametrize("rows_per_task,axes", [(4000, None), (7, None), (7, [[1.0, 0, 0, 0, 0, 0]]), (50, [])])
-def test_scores_match_brute_force_under_skew(spark, rows_per_task, axes):
+@pytest.mark.parametrize("rows_per_block,axes", [(4000, None), (7, None), (7, [[1.0, 0, 0, 0, 0, 0]]), (50, [])])
+def test_scores_match_brute_force_under_skew(spark, rows_per_block, axes):
     occ, tgt, species = _data(np.random.default_rng(4), 240, 90, 0.4)
     o, t = _frames(spark, occ, tgt, species)
     want = {k: v[0] for k, v in _scores(occ, tgt, species).items()}
     if axes == []:
         axes = [[1 / np.sqrt(6)] * 6, [1 / np.sqrt(2), -1 / np.sqrt(2), 0, 0, 0, 0]]
-    got = M.climate_match(o, t, LAYERS, axes=axes, rows_per_task=rows_per_task)
+    got = M.climate_match(o, t, LAYERS, axes=axes, rows_per_block=rows_per_block)
     assert {(r["species"], r["target_x"]): r["score"] for r in got.collect()} == {k: v for k, v in want.items() if v > 0}
-    full = M.climate_match(o, t, LAYERS, axes=axes, rows_per_task=rows_per_task, fill_zero=True)
+    full = M.climate_match(o, t, LAYERS, axes=axes, rows_per_block=rows_per_block, fill_zero=True)
     assert {(r["species"], r["target_x"]): r["score"] for r in full.collect()} == want
 
 
@@ -58,7 +58,7 @@ def test_second_best_counts_copies(spark):
     occ, species = np.vstack([occ, occ[:30]]), np.concatenate([species, species[:30]])
     o, t = _frames(spark, occ, tgt, species)
     want = {(s, j, k + 1): v for (s, j), all_ in _scores(occ, tgt, species).items() for k, v in enumerate(all_[:2]) if v > 0}
-    got = M.climate_match(o, t, LAYERS, sensitivity=2, rows_per_task=11)
+    got = M.climate_match(o, t, LAYERS, sensitivity=2, rows_per_block=11)
     assert {(r["species"], r["target_x"], r["rank"]): r["score"] for r in got.collect()} == want
 
 

@@ -8,7 +8,7 @@ import __spark_entry__ as E
 from tests.oracle import compare, connect
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# plan nodes that mean a cross product or per-row Python
+# plan nodes that mean a cross product or per-row Python (climate matching alone works on array blocks)
 BANNED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
 
 
