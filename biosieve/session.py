@@ -26,13 +26,19 @@ def get_session(app_name: str = "biosieve", master: str | None = None, **conf) -
     return builder.getOrCreate()
 
 
+_temporary: dict[str, str] = {}
+
+
 def _checkpoint_root(spark: SparkSession) -> str:
     """Shared folder named by the cluster; a temporary one only where none is set (local tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="biosieve-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    current = context._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    return _temporary.setdefault(context.applicationId, tempfile.mkdtemp(prefix="biosieve-"))
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
