@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biosieve.functions.projection import EARTH_RADIUS, METRES_PER_DEGREE, haversine_m
+from biosieve.session import durable
 
 _PAD = 1e-9
 
@@ -59,12 +60,17 @@ class RegionIndex:
 
 
 def region_index(edges: DataFrame, size: float = 1.0) -> RegionIndex:
-    """Cut regions into cells. Choose ``size`` so that a row of cells holds few edges per region."""
+    """Cut regions into cells. Choose ``size`` so that a row of cells holds few edges per region.
+
+    The index is stored, because its tables enter a point test several times. Build it once and pass
+    it on when several point tables meet the same regions.
+    """
     row = lambda v: F.floor(v / size).cast("long")
     ylo, yhi = F.least("y1", "y2"), F.greatest("y1", "y2")
     by_row = edges.select("region", "x1", "y1", "x2", "y2").withColumn(
         "_r", F.explode(F.sequence(row(ylo - _PAD), row(yhi + _PAD)))
     )
+    by_row = durable(by_row)
     # x range of the edge within its row, slightly widened, gives the cells it may touch
     bottom, top = F.greatest(ylo, F.col("_r") * size - _PAD), F.least(yhi, (F.col("_r") + 1) * size + _PAD)
     at = lambda yy: F.col("x1") + (F.col("x2") - F.col("x1")) * (yy - F.col("y1")) / (F.col("y2") - F.col("y1"))
@@ -76,6 +82,7 @@ def region_index(edges: DataFrame, size: float = 1.0) -> RegionIndex:
         by_row.select("region", "_r", F.explode(F.sequence(row(F.least(xa, xb) - pad), row(F.greatest(xa, xb) + pad))).alias("_c"))
         .distinct()
     )
+    touched = durable(touched)
     # cells between the first and the last touched cell of a row that no edge touches
     spans = touched.groupBy("region", "_r").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"))
     free = (
@@ -84,7 +91,7 @@ def region_index(edges: DataFrame, size: float = 1.0) -> RegionIndex:
         .withColumn("_x", (F.col("_c") + 0.5) * size)
         .withColumn("_y", (F.col("_r") + 0.5) * size)
     )
-    inner = _parity_hits(free, by_row, "_x", "_y").select("region", "_r", "_c")
+    inner = durable(_parity_hits(free, by_row, "_x", "_y").select("region", "_r", "_c"))
     return RegionIndex(size, by_row, touched, inner)
 
 
