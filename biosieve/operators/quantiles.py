@@ -16,8 +16,12 @@ def _bucket(v: Column, lo: Column, hi: Column, buckets: int) -> Column:
 
 
 def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Non-missing values with their frequency per group: ``_g`` (group struct), ``_v``, ``_n``."""
-    group = F.struct(*by) if by else F.struct(F.lit(1).alias("_all"))
+    """Non-missing values with their frequency per group: ``_g`` (group struct), ``_v``, ``_n``.
+
+    Without groups the key is computed from the value (it is always false) rather than a literal:
+    joins on a literal key lose it and would be planned as a nested loop.
+    """
+    group = F.struct(*by) if by else F.struct(F.isnan(F.col(value).cast("double")).alias("_all"))
     return (
         df.select(group.alias("_g"), F.col(value).cast("double").alias("_v"))
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
