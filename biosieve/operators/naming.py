@@ -127,13 +127,11 @@ def resolve_names(
     right = reference.select("matched_name", "data_source_title").filter(F.col("matched_name").isNotNull()).distinct().withColumn("_b", canonical_key("matched_name"))
     a = _shortened(left.select("_a").distinct(), "_a", max_edits)
     b = _shortened(right.select("_b").distinct(), "_b", max_edits)
-    pairs = (
-        a.join(b, "_f")
-        .select("_a", "_b")
-        .distinct()
-        .withColumn("_d", F.levenshtein("_a", "_b", max_edits))
-        .filter(F.col("_d") >= 0)
-    )
+    candidates = spread(a.join(b, "_f").select("_a", "_b").distinct(), "_a", "_b")
+    # the distance is costly: as a generated column the filter on it cannot be moved below and
+    # evaluate it a second time
+    edits = F.explode_outer(F.array(F.levenshtein("_a", "_b", max_edits)))
+    pairs = candidates.withColumn("_d", edits).filter(F.col("_d") >= 0)
     score = 1 - F.col("_d") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1))
     return (
         left.join(pairs, "_a")
