@@ -5,8 +5,17 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from biosieve.llm.class_lm import class_scores
+from biosieve.llm.decontaminate import benchmark_hits
+from biosieve.llm.licenses import license_scan
 from biosieve.llm.line_dedup import dedup_lines, kept_digest
+from biosieve.llm.mixing import mixing_weights
+from biosieve.llm.near_dup import near_duplicates
+from biosieve.llm.neighbours import nearest
+from biosieve.llm.pii import personal_data, span_digest
+from biosieve.llm.quality import quality_scores
 from biosieve.llm.token_output import encode_corpus
 
 QUERIES, ORACLES = {}, {}
@@ -46,11 +55,51 @@ FROM marked GROUP BY doc_id
 """
 
 
+@query("op1_projected_neighbours")
+def op1_projected_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, is_query=F.col("vec_id") % 20 == 0)
+
+
 @query("op2_line_runs", _LINES_SQL)
 def op2_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept_digest(dedup_lines(table(spark, sf_dir, "documents")))
 
 
+@query("op3_rare_token_licenses")
+def op3_rare_token_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op4_kneser_ney_quality")
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_tensored_minhash")
+def op5_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query("op6_pigeonhole_benchmark")
+def op6_pigeonhole_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_raked_mix")
+def op7_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_weights(table(spark, sf_dir, "documents"))
+
+
 @query("op8_elias_fano_tokens")
 def op8_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+@query("op9_class_bigrams")
+def op9_class_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op10_disclosure_spans")
+def op10_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(personal_data(table(spark, sf_dir, "documents")))
