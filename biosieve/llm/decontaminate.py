@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from biosieve.llm.texts import id_and_text, per_batch
+from biosieve.llm.texts import id_and_text, per_batch, without
 
 # ASCII characters other than digits and lower-case letters separate words
 _FOLD = {c: " " for c in range(128) if not (48 <= c <= 57 or 97 <= c <= 122)}
@@ -165,5 +165,4 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, bl
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay, and so do rows without an id."""
-    gone = benchmark_hits(docs, benchmark, rate).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, benchmark_hits(docs, benchmark, rate))

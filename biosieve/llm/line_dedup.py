@@ -117,8 +117,9 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, batches: int = 4, fanou
     cut at estimated quantiles; where the cuts fall does not change the result.
     """
     spark = docs.sparkSession
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
-    batch = sum((F.col("doc_id") > F.lit(int(c))).cast("int") for c in cuts) if cuts else F.lit(0)
+    shares = [i / batches for i in range(1, batches)]
+    cuts = (docs.agg(F.percentile_approx("doc_id", shares, 1000)).first()[0] or []) if shares else []
+    batch = sum(((F.col("doc_id") > c).cast("int") for c in cuts), F.lit(0))
     lines = stored(line_keys(docs, min_chars).withColumn("batch", batch.cast("int")), "line-keys", "batch")
     index = LineRuns(spark, fanout)
     for i in range(batches):

@@ -13,8 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biosieve.llm.texts import per_batch, raw_text, stored
-from biosieve.session import durable
+from biosieve.llm.texts import per_batch, raw_text, stored, without
 
 MARGINS = ("source", "lang", "topic")
 # default targets: token counts to this power, so large sources and languages are damped and topics keep their share
@@ -86,14 +85,14 @@ def raked(
     weights = weights or {}
     tables = {m: stored(targets_of(cells, m, alpha[m], weights.get(m)), f"target-{m}") for m in MARGINS}
     total = cells.agg(F.sum("n")).first()[0] or 0
-    current = durable(cells.withColumn("mass", F.col("n") / F.lit(float(max(total, 1)))))
+    current = stored(cells.withColumn("mass", F.col("n") / F.lit(float(max(total, 1)))), "raked")
     for _ in range(rounds if total else 0):
-        before = current
         for margin in MARGINS:
             sums = current.groupBy(margin).agg(F.sum("mass").alias("s"))
             scale = sums.join(tables[margin], margin).select(margin, F.when(F.col("s") > 0, F.col("target") / F.col("s")).otherwise(0.0).alias("f"))
-            current = current.join(scale, margin).withColumn("mass", F.col("mass") * F.col("f")).select(*before.columns)
-        current = durable(current)
+            current = current.join(scale, margin).withColumn("mass", F.col("mass") * F.col("f")).select(*MARGINS, "n", "mass")
+        # written, so that its size is known and joins with small tables need no shuffle
+        current = stored(current, "raked")
         off = []
         for margin in MARGINS[:-1]:  # the last margin has just been met
             sums = current.groupBy(margin).agg(F.sum("mass").alias("s")).join(tables[margin], margin)
@@ -125,10 +124,10 @@ def mixing_weights(
     An empty table gives no rows; other columns are ignored.
     """
     counts = stored(token_counts(docs), "token-counts")
-    cells = durable(counts.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
+    cells = stored(counts.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("n")).filter("n > 0"), "cells")
     fitted = raked(cells, alpha, weights)
     total = fitted.agg(F.sum("n")).first()[0] or 1
-    fitted = durable(fitted.select(*MARGINS, (F.col("mass") * float(total) / F.col("n")).alias("weight")))
+    fitted = fitted.select(*MARGINS, (F.col("mass") * float(total) / F.col("n")).alias("weight"))
     largest = fitted.agg(F.max("weight")).first()[0] or 1.0
     probability = F.when(F.col("weight").isNull(), keep).otherwise(keep * F.col("weight") / largest)
     rows = counts.join(fitted, list(MARGINS), "left").withColumn("probability", probability)
@@ -141,5 +140,4 @@ def sample_mix(docs: DataFrame, alpha: Mapping[str, float] = ALPHA, keep: float
 
     Rows that repeat an id are decided together: all go if one of them is not sampled.
     """
-    gone = mixing_weights(docs, alpha, keep, weights).filter("NOT sampled").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, mixing_weights(docs, alpha, keep, weights).filter("NOT sampled"))

@@ -40,6 +40,12 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str)
     return df.mapInArrow(run, schema)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` with all columns, without the ids that ``gone`` lists; rows without an id stay."""
+    ids = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(ids, docs["doc_id"] == ids["_gone"], "left_anti")
+
+
 def stored(df: DataFrame, name: str, *partition_by: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once to the shared folder and read from there."""
     spark: SparkSession = df.sparkSession
