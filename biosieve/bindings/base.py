@@ -101,6 +101,12 @@ frame(
     climate="CASE WHEN l_linestatus = 'F' THEN '1981-2010' ELSE '2011-2040' END",
     ord="l_orderkey",
 )
+# the same for species of few rows
+frame(
+    "rare_results", "lineitem",
+    species="'sp_' || CAST(l_orderkey AS STRING)", target="l_returnflag", score="l_linenumber - 1", model="l_linestatus",
+    climate="CASE WHEN l_linestatus = 'F' THEN '1981-2010' ELSE '2011-2040' END",
+)
 # the same with a cell belonging to one region only
 frame(
     "region_cells", "lineitem",

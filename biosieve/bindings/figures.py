@@ -130,7 +130,7 @@ def _box_sql(source, group, value):
 
 @query("five_number", sql(_box_sql("risk", "taxa", "global_environmental_risk"), "risk"))
 def _(spark, sf):
-    return S.five_number(load(spark, sf, "risk"), ["taxa"], "global_environmental_risk", few_values=True)
+    return S.five_number(load(spark, sf, "risk"), ["taxa"], "global_environmental_risk")
 
 
 _BOX = ("n", "lower_whisker", "q1", "median", "q3", "upper_whisker", "n_outliers")
@@ -171,7 +171,7 @@ def _(spark, sf):
   GROUP BY question, x""", "risk", ctes="q AS (SELECT 'qu_1' AS question, qu_1 AS score FROM risk UNION ALL SELECT 'qu_2', qu_2 FROM risk)"))
 def _(spark, sf):
     long = R.question_scores_long(load(spark, sf, "risk"), ["qu_1", "qu_2"])
-    return r6(S.density(long, "score", ["question"], few_values=True), "x", "density")
+    return r6(S.density(long, "score", ["question"]), "x", "density")
 
 
 _RATERS = ("a1", "a2", "a3", "a4")

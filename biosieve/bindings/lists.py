@@ -168,12 +168,19 @@ def _(spark, sf):
     return L.distinct_rows(load(spark, sf, "results"), ["species", "target", "climate"])
 
 
-# species of either scenario need different reach: the baseline keeps only its two best scores
-_SCEN = "scen AS (SELECT DISTINCT species, climate FROM results WHERE (climate = '1981-2010' AND score >= 5 AND target = 'A') OR (climate = '2011-2040' AND score = 6))"
+# species that occur in a few rows each, so that scenarios and regions differ in their species
+_SCEN = "scen AS (SELECT DISTINCT species, climate FROM rare_results WHERE score <> 0)"
 
 
 def _scen(spark, sf):
-    return load(spark, sf, "results").filter("(climate = '1981-2010' AND score >= 5 AND target = 'A') OR (climate = '2011-2040' AND score = 6)").select("species", "climate").distinct()
+    return load(spark, sf, "rare_results").filter("score <> 0").select("species", "climate").distinct()
+
+
+_RARE_REJECTED = "rejected AS (SELECT DISTINCT species FROM rare_results WHERE target = 'N' AND score = 0)"
+
+
+def _rare_rejected(spark, sf):
+    return load(spark, sf, "rare_results").filter("target = 'N' AND score = 0").select("species").distinct()
 
 
 _REJECTED = "rejected AS (SELECT DISTINCT species FROM results WHERE target = 'N' AND score = 0 AND model = 'O')"
@@ -184,14 +191,14 @@ def _rejected(spark, sf):
 
 
 @query("scenario_partition", sql("""SELECT species, CASE WHEN count(*) = 2 THEN 'both' WHEN min(climate) = '1981-2010' THEN 'baseline' ELSE 'future' END AS scenario
-  FROM scen WHERE species NOT IN (SELECT species FROM rejected) GROUP BY species""", "results", ctes=f"{_SCEN}, {_REJECTED}"))
+  FROM scen WHERE species NOT IN (SELECT species FROM rejected) GROUP BY species""", "rare_results", ctes=f"{_SCEN}, {_RARE_REJECTED}"))
 def _(spark, sf):
-    return L.scenario_partition(_scen(spark, sf), _rejected(spark, sf))
+    return L.scenario_partition(_scen(spark, sf), _rare_rejected(spark, sf))
 
 
 def _hist_future(spark, sf):
-    res = load(spark, sf, "results")
-    return res.filter("model = 'F' AND score >= 5"), res.filter("model = 'O' AND score = 6")
+    res = load(spark, sf, "rare_results")
+    return res.filter("model = 'F'"), res.filter("model = 'O'")
 
 
 def _region_list(spark, sf, regions):
@@ -201,15 +208,15 @@ def _region_list(spark, sf, regions):
 
 def _region_sql(*regions):
     listed = ", ".join(f"'{r}'" for r in regions)
-    return f"SELECT DISTINCT species FROM results WHERE target IN ({listed}) AND ((model = 'F' AND score >= 5) OR (model = 'O' AND score = 6))"
+    return f"SELECT DISTINCT species FROM rare_results WHERE target IN ({listed}) AND score <> 0"
 
 
-@query("region_species_list", sql(_region_sql("A", "R"), "results"))
+@query("region_species_list", sql(_region_sql("A", "R"), "rare_results"))
 def _(spark, sf):
     return _region_list(spark, sf, ["A", "R"])
 
 
-@query("region_gap", sql(f"{_region_sql('A')} EXCEPT {_region_sql('R')}", "results"))
+@query("region_gap", sql(f"{_region_sql('A')} EXCEPT {_region_sql('R')}", "rare_results"))
 def _(spark, sf):
     return L.region_gap(_region_list(spark, sf, ["A"]), _region_list(spark, sf, ["R"]))
 
@@ -244,9 +251,9 @@ def _(spark, sf):
 
 
 @query("region_matrix", sql(f"""SELECT species, max(CASE WHEN region = 'A' THEN 1.0::DOUBLE END) AS A, max(CASE WHEN region = 'N' THEN 1.0::DOUBLE END) AS N, max(CASE WHEN region = 'R' THEN 1.0::DOUBLE END) AS R
-  FROM ({" UNION ALL ".join(f"SELECT species, '{t}' AS region FROM ({_region_sql(t)})" for t in TARGETS)}) WHERE species NOT IN (SELECT species FROM rejected) GROUP BY species""", "results", ctes=_REJECTED))
+  FROM ({" UNION ALL ".join(f"SELECT species, '{t}' AS region FROM ({_region_sql(t)})" for t in TARGETS)}) WHERE species NOT IN (SELECT species FROM rejected) GROUP BY species""", "rare_results", ctes=_RARE_REJECTED))
 def _(spark, sf):
-    return R.region_matrix({t: _region_list(spark, sf, [t]) for t in TARGETS}, [(_rejected(spark, sf), "species")])
+    return R.region_matrix({t: _region_list(spark, sf, [t]) for t in TARGETS}, [(_rare_rejected(spark, sf), "species")])
 
 
 _REASONS = (

@@ -27,13 +27,21 @@ _PATTERNS = {
     "'^(' || p_name || '|none) S'": "p_size = 9",
     "substr(p_name, 1, 2)": "p_size = 10",
 }
-_PATTERN_SQL = "patterns AS (" + " UNION ".join(f"SELECT {e} AS pattern FROM part WHERE {w}" for e, w in _PATTERNS.items()) + ")"
+# regulated names with an authority in brackets, which a name may leave out
+_REGULATED = {e: w for e, w in _PATTERNS.items() if "substr" not in e} | {"p_name || ' ' || p_type || '( [(]' || p_brand || '[)])?'": "p_size = 11"}
 
 
-def _patterns(spark, sf):
+def _pattern_sql(patterns):
+    return "patterns AS (" + " UNION ".join(f"SELECT {e} AS pattern FROM part WHERE {w}" for e, w in patterns.items()) + ")"
+
+
+_PATTERN_SQL, _REGULATED_SQL = _pattern_sql(_PATTERNS), _pattern_sql(_REGULATED)
+
+
+def _patterns(spark, sf, patterns=_PATTERNS):
     part = table(spark, sf, "part")
     out = None
-    for expr, where in _PATTERNS.items():
+    for expr, where in patterns.items():
         piece = part.filter(where).selectExpr(f"{expr} AS pattern")
         out = piece if out is None else out.union(piece)
     return out.distinct()
@@ -52,10 +60,9 @@ def _(spark, sf):
     return out.select("preferred_scientific_name", "size", "scientific_name")
 
 
-@query("remove_regulated", sql("""SELECT preferred_scientific_name, size FROM candidates WHERE NOT EXISTS (SELECT 1 FROM patterns WHERE length(pattern) > 8 AND regexp_matches(preferred_scientific_name, pattern))""", "candidates", ctes=_PATTERN_SQL))
+@query("remove_regulated", sql("""SELECT preferred_scientific_name, size FROM candidates WHERE NOT EXISTS (SELECT 1 FROM patterns WHERE regexp_matches(preferred_scientific_name, pattern))""", "candidates", ctes=_REGULATED_SQL))
 def _(spark, sf):
-    long = _patterns(spark, sf).filter(F.length("pattern") > 8)
-    return N.remove_regulated(load(spark, sf, "candidates"), long, "preferred_scientific_name", "pattern").select("preferred_scientific_name", "size")
+    return N.remove_regulated(load(spark, sf, "candidates"), _patterns(spark, sf, _REGULATED), "preferred_scientific_name", "pattern").select("preferred_scientific_name", "size")
 
 
 # every name with one letter missing, looked up among all names

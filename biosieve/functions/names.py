@@ -52,7 +52,9 @@ def fix_names(df: DataFrame, col: str, fixes: dict[str, str]) -> DataFrame:
 
 
 def species_from_file(col: str | Column) -> Column:
-    """Species name held in a file path such as ``…/Genus_species.csv``."""
+    """Species name held in a file path such as ``…/Genus_species.csv``; paths are percent-encoded."""
     c = F.col(col) if isinstance(col, str) else col
     stem = F.regexp_extract(c, r"([^/\\]+)\.csv$", 1)
+    # a plus sign stands for itself in a path, but for a blank in the decoder
+    stem = F.try_url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))
     return clean_name(F.nullif(stem, F.lit("")))

@@ -196,12 +196,14 @@ def climate_match(
         ranked = near.withColumn("rank", order).filter(F.col("rank") <= sensitivity)
         scored = ranked.select("species", *TARGET, "rank", match_score("_d2", k).alias("score"))
     scored = scored.filter(F.col("score") > 0)
-    return complete_scores(scored, occ.select("species").distinct(), tgt.select(*TARGET).distinct()) if fill_zero else scored
+    return complete_scores(scored, occ.groupBy("species").agg(F.sum("_n").alias("n")), tgt.select(*TARGET).distinct(), sensitivity) if fill_zero else scored
 
 
-def complete_scores(scored: DataFrame, species: DataFrame, cells: DataFrame) -> DataFrame:
+def complete_scores(scored: DataFrame, species: DataFrame, cells: DataFrame, sensitivity: int = 1) -> DataFrame:
     """Add a zero score for each species and cell without one (the size of the result, by definition).
 
+    A species (``species, n`` occurrences) has as many ranks in a cell as occurrences, ``sensitivity`` at most.
+
     Species are spread over as many keys as tasks and the cell list visits each key, so the rows
     to produce are shared evenly without broadcasting either list.
     """
@@ -209,8 +211,11 @@ def complete_scores(scored: DataFrame, species: DataFrame, cells: DataFrame) ->
     a = species.withColumn("_p", F.pmod(F.xxhash64("species"), F.lit(parts)).cast("int"))
     b = cells.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     keys = ["species", *TARGET]
-    full = a.join(b, "_p").select(*keys).join(scored, keys, "left").withColumn("score", F.coalesce("score", F.lit(0)))
-    return full.withColumn("rank", F.coalesce("rank", F.lit(1))) if "rank" in scored.columns else full
+    full = a.join(b, "_p")
+    if sensitivity > 1:
+        full = full.withColumn("rank", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(sensitivity)).cast("int"))))
+        keys.append("rank")
+    return full.select(*keys).join(scored, keys, "left").withColumn("score", F.coalesce("score", F.lit(0)))
 
 
 def scenario_change(current: DataFrame, future: DataFrame, key: Sequence[str] = ("species", "target_x", "target_y")) -> DataFrame:

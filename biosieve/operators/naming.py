@@ -10,6 +10,8 @@ from biosieve.session import spread, task_count
 
 # lengths of the text pieces used as join keys, longest first
 _PIECES = (12, 3)
+# depth of groups within groups that is looked through
+_NESTED = 3
 
 
 def match_backbone(names: DataFrame, backbone: DataFrame, name: str = "scientific_name") -> DataFrame:
@@ -22,15 +24,20 @@ def match_backbone(names: DataFrame, backbone: DataFrame, name: str = "scientifi
 
 
 def _required_text(pattern: Column) -> Column:
-    """Longest run of plain text that every match of a regular expression must contain.
+    """Longest run of plain text outside brackets that every match of a regular expression must contain.
 
-    Empty when the expression uses alternatives, groups, classes, counts or escapes, whose required
-    text is not judged here.
+    Classes and then groups, innermost first, are taken out whole, and so is whatever a quantifier
+    makes optional. Empty when alternatives or unusual brackets remain, or an escape is used, whose
+    required text is not judged here.
     """
     mark = "\u0001"
-    plain = F.regexp_replace(F.regexp_replace(pattern, "(?s).[*?][*?+]*", mark), "[+][?+]*|[.^$]", mark)
+    bare = F.regexp_replace(pattern, r"\[\^?\]?[^\]\[]*\]", mark)
+    for _ in range(_NESTED):
+        bare = F.regexp_replace(bare, r"\([^()]*\)", mark)
+    plain = F.regexp_replace(F.regexp_replace(bare, r"(?s).(?:[*?]|\{[0-9,]*\})[*?+]*", mark), "[+][?+]*|[.^$]", mark)
     runs = F.array_sort(F.transform(F.split(plain, mark), lambda r: F.struct((-F.length(r)).alias("l"), r.alias("r"))))
-    return F.when(pattern.rlike(r"[|()\[\]{}\\]"), "").otherwise(F.element_at(runs, 1).getField("r"))
+    flagged = pattern.contains("\\") | pattern.rlike(r"\(\?[a-zA-Z-]+[:)]")  # escapes; flags that may ignore case
+    return F.when(flagged | bare.rlike(r"[|()\[\]]") | plain.rlike("[{}]"), "").otherwise(F.element_at(runs, 1).getField("r"))
 
 
 def _piece(text: Column) -> Column:

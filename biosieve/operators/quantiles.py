@@ -30,18 +30,13 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
-def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], few_values: bool = False, buckets: int = 2048) -> DataFrame:
+def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], buckets: int = 2048) -> DataFrame:
     """Quantiles (linear interpolation between order statistics) of a :func:`value_counts` table.
 
-    Returns ``_g, q0, q1, …``. With ``few_values`` the caller states that a group holds a bounded
-    number of distinct values (such as scores 0 to 12) and one aggregation suffices. Otherwise the
-    wanted ranks are located by counting twice over ``buckets`` intervals, the second time only
+    Returns ``_g, q0, q1, …``. The wanted ranks are located by counting twice over ``buckets`` intervals, the second time only
     inside the intervals hit, and only the sub-intervals that hold a wanted rank are sorted.
     """
     names = [f"q{i}" for i in range(len(probs))]
-    if few_values:
-        return counts.groupBy("_g").agg(*[F.percentile("_v", F.lit(float(p)), F.col("_n")).alias(q) for p, q in zip(probs, names)])
-
     totals = counts.groupBy("_g").agg(F.sum("_n").alias("_total"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     low = [F.floor((F.col("_total") - 1) * F.lit(float(p))) for p in probs]
     high = [F.least(r + 1, F.col("_total") - 1) for r in low]
@@ -90,8 +85,8 @@ def quantiles_of_counts(counts: DataFrame, probs: Sequence[float], few_values: b
     return found.groupBy("_g").agg(*cols)
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), few_values: bool = False) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Quantiles ``q0, q1, …`` of ``value`` per group of ``by``, missing values ignored."""
-    out = quantiles_of_counts(value_counts(df, value, by), probs, few_values)
+    out = quantiles_of_counts(value_counts(df, value, by), probs)
     names = [f"q{i}" for i in range(len(probs))]
     return out.select(*[F.col(f"_g.`{c}`").alias(c) for c in by], *names)

@@ -24,9 +24,10 @@ def _parity_hits(points: DataFrame, edges: DataFrame, x: str, y: str) -> DataFra
     """Rows of ``points`` (keyed by ``_r`` and ``region``) inside or on their region.
 
     ``edges`` lists each edge once per row of cells it reaches. Crossings of a ray towards +x are
-    counted with half-open edges; all columns of ``points`` form the grouping key, so the partial
-    counts are merged before and after a shuffle and no row is gathered with others.
+    counted with half-open edges. Each place is tested once and the rows at it are joined back, so
+    repeated rows stay and cost nothing; partial counts are merged before and after a shuffle.
     """
+    place = ["_r", "region", x, y]
     px, py = F.col(x), F.col(y)
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     straddles = (y1 > py) != (y2 > py)
@@ -36,17 +37,19 @@ def _parity_hits(points: DataFrame, edges: DataFrame, x: str, y: str) -> DataFra
         & px.between(F.least(x1, x2), F.greatest(x1, x2))
         & py.between(F.least(y1, y2), F.greatest(y1, y2))
     )
-    return (
-        points.join(edges, ["_r", "region"])
+    hits = (
+        points.select(*place).distinct().join(edges, ["_r", "region"])
         .filter(px <= F.greatest(x1, x2))
         .withColumn("_cross", F.when(crossing, 1).otherwise(0))
         .withColumn("_on", on_edge)
         .filter((F.col("_cross") == 1) | F.col("_on"))
-        .groupBy(*points.columns)
+        .groupBy(*place)
         .agg(F.bit_xor("_cross").alias("_odd"), F.bool_or("_on").alias("_on"))
         .filter((F.col("_odd") == 1) | F.col("_on"))
-        .drop("_odd", "_on")
+        .select(*[F.col(c).alias(f"_hit_{i}") for i, c in enumerate(place)])
     )
+    same = [F.col(c) == F.col(f"_hit_{i}") for i, c in enumerate(place)]
+    return points.join(hits, same, "left_semi")
 
 
 @dataclass
@@ -104,7 +107,7 @@ def within_region(
 ) -> DataFrame:
     """Points inside (or on the edge of) a region, labelled ``region``; one row per region hit.
 
-    Rows of ``points`` must be distinguishable (carry an id); identical rows would be merged.
+    Repeated rows are kept as often as they come.
     """
     index = index or region_index(edges, size)
     keyed = _keyed(points, index.size, x, y)
@@ -124,7 +127,10 @@ def on_land(
     inner = index.inner.select("_r", "_c").distinct()
     sure = keyed.join(inner, ["_r", "_c"], "left_semi")
     near = keyed.join(index.touched.join(inner, ["_r", "_c"], "left_anti"), ["_r", "_c"])
-    tested = _parity_hits(near, index.edges, x, y).select(*points.columns).distinct()
+    # one row per region hit: a row is kept once if any region holds its place
+    held = _parity_hits(near.select("_r", "region", x, y).distinct(), index.edges, x, y).select(x, y).distinct()
+    edge = keyed.join(inner, ["_r", "_c"], "left_anti").select(*points.columns)
+    tested = edge.join(held.select(F.col(x).alias("_hx"), F.col(y).alias("_hy")), (F.col(x) == F.col("_hx")) & (F.col(y) == F.col("_hy")), "left_semi")
     return sure.select(*points.columns).unionByName(tested)
 
 

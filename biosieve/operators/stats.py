@@ -98,14 +98,14 @@ def species_count(df: DataFrame, species: str = "species") -> DataFrame:
 
 
 def five_number(
-    df: DataFrame, group: Sequence[str], value: str, limits: tuple[float, float] | None = None, few_values: bool = False
+    df: DataFrame, group: Sequence[str], value: str, limits: tuple[float, float] | None = None
 ) -> DataFrame:
     """Box-plot numbers per group: quartiles, whiskers within 1.5 box lengths, number of outliers.
 
     ``limits`` drops values outside a range before anything is computed.
     """
     counts = value_counts(df if limits is None else df.filter(F.col(value).between(*limits)), value, group)
-    boxes = quantiles_of_counts(counts, (0.25, 0.5, 0.75), few_values)
+    boxes = quantiles_of_counts(counts, (0.25, 0.5, 0.75))
     reach = 1.5 * (F.col("q2") - F.col("q0"))
     inside = F.col("_v").between(F.col("q0") - reach, F.col("q2") + reach)
     return (
@@ -124,10 +124,10 @@ def five_number(
     )
 
 
-def box_outliers(df: DataFrame, group: Sequence[str], value: str, limits: tuple[float, float] | None = None, few_values: bool = False) -> DataFrame:
+def box_outliers(df: DataFrame, group: Sequence[str], value: str, limits: tuple[float, float] | None = None) -> DataFrame:
     """Values beyond the whiskers with their frequency, one row per group and value."""
     counts = value_counts(df if limits is None else df.filter(F.col(value).between(*limits)), value, group)
-    boxes = quantiles_of_counts(counts, (0.25, 0.75), few_values)
+    boxes = quantiles_of_counts(counts, (0.25, 0.75))
     reach = 1.5 * (F.col("q1") - F.col("q0"))
     return (
         counts.join(boxes, "_g")
@@ -136,10 +136,10 @@ def box_outliers(df: DataFrame, group: Sequence[str], value: str, limits: tuple[
     )
 
 
-def column_summary(df: DataFrame, col: str, few_values: bool = False) -> DataFrame:
+def column_summary(df: DataFrame, col: str) -> DataFrame:
     """Minimum, quartiles, mean, maximum and number of missing values of one column."""
     counts = value_counts(df, col)
-    quart = quantiles_of_counts(counts, (0.25, 0.5, 0.75), few_values).select(F.struct("q0", "q1", "q2").alias("q"))
+    quart = quantiles_of_counts(counts, (0.25, 0.5, 0.75)).select(F.struct("q0", "q1", "q2").alias("q"))
     plain = df.agg(
         F.min(col).alias("min"), F.avg(col).alias("mean"), F.max(col).alias("max"), F.count_if(F.col(col).isNull()).alias("n_missing")
     )
@@ -156,7 +156,7 @@ def histogram(df: DataFrame, col: str, width: float = 1.0) -> DataFrame:
     return bins.join(counts, "_k", "left").select((F.col("_k") * width).alias("bin"), F.coalesce("count", F.lit(0)).alias("count"))
 
 
-def density(df: DataFrame, col: str, group: Sequence[str], points: int = 512, few_values: bool = False) -> DataFrame:
+def density(df: DataFrame, col: str, group: Sequence[str], points: int = 512) -> DataFrame:
     """Gaussian kernel density per group at ``points`` places over the range of all groups.
 
     Bandwidth is 0.9 min(sd, IQR / 1.34) n^(-1/5) with the usual fall-backs for a constant group;
@@ -165,7 +165,7 @@ def density(df: DataFrame, col: str, group: Sequence[str], points: int = 512, fe
     """
     counts = value_counts(df, col, group)
     spans = counts.agg(F.min("_v").alias("a"), F.max("_v").alias("b")).select(F.struct("a", "b").alias("s"))
-    quart = quantiles_of_counts(counts, (0.25, 0.75), few_values)
+    quart = quantiles_of_counts(counts, (0.25, 0.75))
     n, mean = F.sum("_n"), F.sum(F.col("_n") * F.col("_v")) / F.sum("_n")
     centre = counts.groupBy("_g").agg(n.alias("_total"), mean.alias("_m"), F.min("_v").alias("_x1"))
     spread = (
@@ -269,9 +269,7 @@ def dedupe_records(records: DataFrame, key: Sequence[str] = ("lon", "lat", "spec
 
 
 def top_k_scores(df: DataFrame, k: int = 2, keys: Sequence[str] = ("species", *CELL), ties: Sequence[str] = ()) -> DataFrame:
-    """The ``k`` best scores per species and cell with their rank; for ``k=1`` a plain maximum."""
-    if k == 1:
-        return best_score(df, keys).withColumn("rank", F.lit(1))
+    """The rows of the ``k`` best scores per species and cell with their rank."""
     rank = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last("score"), *ties))
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 

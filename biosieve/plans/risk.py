@@ -18,7 +18,7 @@ def risk_overview(risk: DataFrame, intake: DataFrame, regulated: DataFrame) -> d
     deficient = P.data_deficient(assessed)
     second = P.needs_second_look(assessed)
     moderate = L.risk_tier(assessed)
-    box = lambda df, limits=None: S.five_number(df, ["taxa"], SCORE, limits, few_values=True)
+    box = lambda df, limits=None: S.five_number(df, ["taxa"], SCORE, limits)
     listed = L.flag_listed(high, regulated, "species_latin", "scientific_name")
     return {
         "assessed": assessed,
@@ -32,7 +32,7 @@ def risk_overview(risk: DataFrame, intake: DataFrame, regulated: DataFrame) -> d
         "listing": S.category_counts(listed, "already_listed", "taxa"),
         "gaps": S.question_counts(deficient),
         "boxes": box(assessed),
-        "family_boxes": S.five_number(assessed, ["taxa", "family"], SCORE, few_values=True),
+        "family_boxes": S.five_number(assessed, ["taxa", "family"], SCORE),
         "deficient_boxes": box(deficient),
         "second_look_boxes": box(second),
         "moderate_boxes": box(moderate, (2, 8)),

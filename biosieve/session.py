@@ -30,7 +30,7 @@ _temporary: dict[str, str] = {}
 
 
 def _checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a temporary one only where none is set (local tests)."""
+    """Shared folder named by the cluster; a temporary one only where driver and executors are one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root
@@ -38,6 +38,8 @@ def _checkpoint_root(spark: SparkSession) -> str:
     current = context._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return _temporary.setdefault(context.applicationId, tempfile.mkdtemp(prefix="biosieve-"))
 
 
