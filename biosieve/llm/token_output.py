@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 from pyspark import TaskContext
@@ -21,6 +22,24 @@ _BLOCK = "part int, block int, at long, n_docs long, n_null long, n_ids long, wi
 # A pre-token of byte-level BPE reaches over white space only as a single leading blank or inside a
 # run of white space, so a text may be cut before a single blank or line feed between other characters.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+# It never joins letters with these, so a word may be cut before a tail of them.
+_TAIL = "!#$%&*,.:;?|"
+_LATIN = "\u0250"  # letters below are Latin
+
+
+def cut(text: str) -> list[str]:
+    """``text`` in pieces whose ids can be joined.
+
+    Pieces other than the first follow a blank unless they start with a line feed; that blank is not
+    part of the piece.
+    """
+    words = text.split()
+    blanks, feeds = text.count(" "), text.count("\n")
+    if len(words) == blanks + feeds + 1 and sum(map(len, words)) + blanks + feeds == len(text):
+        # only single blanks and line feeds, all between words
+        return text.replace("\n", " \n").split(" ")
+    pieces = _CUT.split(text)
+    return pieces[:1] + [p[1:] if p[0] == " " else p for p in pieces[1:]]
 
 
 class Encoder:
@@ -30,7 +49,7 @@ class Encoder:
     the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 200_000):
+    def __init__(self, path: str, end_id: int, keep: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -41,27 +60,61 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.end = np.array([end_id], self.dtype).tobytes()
+        # how the vocabulary writes a leading blank and the letters that are not one byte
+        written = lambda s: self.tokenizer.pre_tokenizer.pre_tokenize_str(s)[0][0]
+        self.blank = written(" a")[:-1]
+        self.letters = {ord(c): written(c) for c in map(chr, range(128, ord(_LATIN))) if c.isalpha()}
         self.keep, self.young, self.old = keep, {}, {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        missing = []
-        for p in set(pieces) - self.young.keys():
-            known = self.old.get(p)
-            if known is None:
-                missing.append(p)
+    def _learn(self, missing: set) -> None:
+        """Look ``missing`` up in what was known before, put it together from a word and its tail, or ask the library."""
+        young, old = self.young, self.old
+        ask, joined = {}, []
+        for p in missing:
+            ids = old.get(p)
+            if ids is not None:
+                young[p] = ids
+            elif p.__class__ is str and p[-1] in _TAIL and (word := p.rstrip(_TAIL)) and word[-1].isalpha():
+                tail = (p[len(word) :],)
+                joined.append((p, word, tail))
+                for x in (word, tail):
+                    if x not in young:
+                        ask[x] = None
+            else:
+                ask[p] = None
+        rest = []
+        for p in ask:
+            if p in old:
+                young[p] = old[p]
+            else:
+                rest.append(p)
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        # a word of letters is a single pre-token, which goes straight to the library's model
+        tokenize, blank, letters, asked = self.tokenizer.model.tokenize, self.blank, self.letters, []
+        for p in rest:
+            if p.__class__ is str and p.isalpha() and (p.isascii() or max(p) < _LATIN):
+                young[p] = array(code, [t.id for t in tokenize(blank + (p if p.isascii() else p.translate(letters)))]).tobytes()
             else:
-                self.young[p] = known
-        for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            self.young[p] = np.array(e.ids, self.dtype).tobytes()
+                asked.append(p)
+        # one-element tuples are pieces with nothing before them
+        texts = [p[0] if p.__class__ is tuple else p if p[0] == "\n" else " " + p for p in asked]
+        for p, e in zip(asked, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            young[p] = array(code, e.ids).tobytes()
+        for p, word, tail in joined:
+            young[p] = young[word] + young[tail]
 
     def encode(self, text: str) -> bytes:
         """Ids of ``text`` and the end id, as little-endian numbers."""
-        pieces = _CUT.split(text)
+        pieces: list = cut(text)
+        pieces[0] = (pieces[0],)
         if len(self.young) > self.keep:
             self.young, self.old = {}, self.young
-        self._learn(pieces)
         young = self.young
-        return b"".join([young[p] for p in pieces]) + self.end
+        found = list(map(young.get, pieces))
+        if None in found:
+            self._learn({p for p, ids in zip(pieces, found) if ids is None})
+            found = [young[p] if ids is None else ids for p, ids in zip(pieces, found)]
+        return b"".join(found) + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
