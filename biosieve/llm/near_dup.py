@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biosieve.llm.graph import components
-from biosieve.llm.texts import id_and_text, per_batch, stored
+from biosieve.llm.texts import id_and_text, per_batch, stored, without
 
 TUPLE = 2  # MinHash values in a tuple; a key has twice as many
 _BITS = 1024
@@ -91,8 +91,12 @@ def sketches(docs: DataFrame, size: int, width: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The ``pairs`` (ids ``a, b``) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The ``pairs`` (ids ``a, b``) whose full shingle sets are similar enough.
+
+    Texts meet the ids by a merge join at any size: a list short enough to be sent around on a small
+    input is not on a large one.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().hint("merge")
 
     def full(batch):
         sets = [word_shingles(t, size) for t in batch.column(1).to_pylist()]
@@ -210,5 +214,4 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, miss: flo
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are not the first of their group; all columns stay."""
-    gone = near_duplicates(docs, size, percent).filter("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, near_duplicates(docs, size, percent).filter("NOT kept"))
