@@ -173,7 +173,8 @@ def nearest(
 
     Equal vectors form a class that is searched once; as ties go to the smaller id, its ``k`` + 1 smallest
     ids hold all that any query can need. The upper kd-tree is fitted on about ``sample_rows`` projected
-    vectors and cuts the space into cells of about ``cell_rows``; every vector is put into its cell.
+    vectors and cuts the space into cells of about ``cell_rows`` (4096 cells at most, which then hold more);
+    every vector is put into its cell.
     A query searches its own cell, then all cells within the stopping radius. A cell in which many
     vectors or queries meet is cut into parts on both sides.
 
