@@ -79,13 +79,15 @@ def raked(
     """``cells`` (source, lang, topic, n) with ``mass``: the share of each cell after raking.
 
     A round scales the masses to each margin in turn and ends when no group is off its target by more
-    than ``tolerance`` of it, or after ``rounds`` (targets that the cells cannot meet together have no
-    solution; the last round's masses are then kept). The cells, not the rows, are what is iterated.
+    than ``tolerance`` of it, or after ``rounds``, or when a round brings the worst group no nearer by
+    a fiftieth (targets that the cells cannot meet together have no solution; the last round's masses
+    are then kept). The cells, not the rows, are what is iterated.
     """
     weights = weights or {}
     tables = {m: stored(targets_of(cells, m, alpha[m], weights.get(m)), f"target-{m}") for m in MARGINS}
     total = cells.agg(F.sum("n")).first()[0] or 0
     current = stored(cells.withColumn("mass", F.col("n") / F.lit(float(max(total, 1)))), "raked")
+    last = float("inf")
     for _ in range(rounds if total else 0):
         for margin in MARGINS:
             sums = current.groupBy(margin).agg(F.sum("mass").alias("s"))
@@ -97,8 +99,10 @@ def raked(
         for margin in MARGINS[:-1]:  # the last margin has just been met
             sums = current.groupBy(margin).agg(F.sum("mass").alias("s")).join(tables[margin], margin)
             off.append(sums.agg(F.max(F.when(F.col("target") > 0, F.abs(F.col("s") / F.col("target") - 1)))))
-        if max((r[0] or 0.0) for r in reduce(DataFrame.union, off).collect()) <= tolerance:
+        now = max((r[0] or 0.0) for r in reduce(DataFrame.union, off).collect())
+        if now <= tolerance or now > 0.98 * last:
             break
+        last = now
     return current
 
 
