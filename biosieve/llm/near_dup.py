@@ -87,7 +87,7 @@ def sketches(docs: DataFrame, size: int, width: int) -> DataFrame:
             out["bits"].append(parity_bits(s) if len(s) else None)
         return out
 
-    return per_batch(id_and_text(docs), sketch, "doc_id long, n long, hi long, lo long, tuples array<long>, bits binary")
+    return per_batch(id_and_text(docs), sketch, "doc_id long, n long, hi long, lo long, tuples array<long>, bits binary", rows=256)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -102,7 +102,7 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
         sets = [word_shingles(t, size) for t in batch.column(1).to_pylist()]
         return {"doc_id": batch.column(0), "shingles": [s.tobytes() for s in sets]}
 
-    sets = stored(per_batch(id_and_text(docs).join(ids, "doc_id", "left_semi"), full, "doc_id long, shingles binary"), "shingle-sets")
+    sets = stored(per_batch(id_and_text(docs).join(ids, "doc_id", "left_semi"), full, "doc_id long, shingles binary", rows=256), "shingle-sets")
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"{c}_set"))
 
     def test(batch):
