@@ -35,17 +35,23 @@ def test_quantiles_match_numpy(spark, buckets):
         assert got[g] == pytest.approx(np.quantile(values, PROBS).tolist(), rel=1e-12, abs=1e-12)
 
 
-def test_both_quantile_plans_agree(spark):
+def test_quantiles_equal_plain_percentiles(spark):
     df = spark.range(3000).select((F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).cast("double").alias("v"))
-    assert rows(exact_quantiles(df, "v", PROBS, ["g"])) == rows(exact_quantiles(df, "v", PROBS, ["g"], few_values=True))
+    plain = df.groupBy("g").agg(*[F.percentile("v", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(PROBS)])
+    assert rows(exact_quantiles(df, "v", PROBS, ["g"])) == rows(plain)
+
+
+def test_best_score_keeps_payload(spark):
+    df = spark.createDataFrame([("a", "r", 1.0, 2.0, s, f"m{s}") for s in range(3)], "species string, target string, target_x double, target_y double, score int, model string")
+    best = S.top_k_scores(df, 1, ["species", "target_x", "target_y"])
+    assert rows(best.select("score", "model", "rank")) == [(2, "m2", 1)] and set(best.columns) == {*df.columns, "rank"}
 
 
 def test_box_plot(spark):
     df = _frame(spark, {"a": [1, 2, 3, 4, 100, -50]})
-    for few in (False, True):
-        box = S.five_number(df, ["g"], "v", few_values=few).first()
-        assert (box["n"], box["lower_whisker"], box["upper_whisker"], box["n_outliers"]) == (6, 1.0, 4.0, 2)
-        assert rows(S.box_outliers(df, ["g"], "v", few_values=few)) == [("a", -50.0, 1), ("a", 100.0, 1)]
+    box = S.five_number(df, ["g"], "v").first()
+    assert (box["n"], box["lower_whisker"], box["upper_whisker"], box["n_outliers"]) == (6, 1.0, 4.0, 2)
+    assert rows(S.box_outliers(df, ["g"], "v")) == [("a", -50.0, 1), ("a", 100.0, 1)]
     assert S.five_number(df, ["g"], "v", limits=(0, 10)).first()["n"] == 4
 
 
