@@ -1,6 +1,8 @@
+import warnings
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 import __spark_entry__ as E
 from biosieve.llm.mixing import ALPHA, MARGINS, mixing_weights, raked, sample_mix
@@ -62,6 +64,31 @@ def test_given_weights(spark):
     assert all(np.isclose(got[k], want[k], rtol=1e-2) for k in want)
 
 
+def test_slow_targets_are_met(spark):
+    """Nearly monolingual sources: rounds gain little each, but the tempered targets can be met."""
+    main, foreign = {"a": ("x", 1e9), "b": ("y", 3e8), "c": ("z", 1e7)}, 1e-2
+    cells = {(s, l, "p"): n * (1 - foreign if l == own else foreign / 2) for s, (own, n) in main.items() for l in "xyz"}
+    df = spark.createDataFrame([(*k, int(n)) for k, n in cells.items()], "source string, lang string, topic string, n long")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        got = {(r.source, r.lang, r.topic): r.mass for r in raked(df, tolerance=1e-3).collect()}
+    for i, m in enumerate(MARGINS):
+        sums, mass = defaultdict(float), defaultdict(float)
+        for k, n in cells.items():
+            sums[k[i]] += int(n)
+            mass[k[i]] += got[k]
+        whole = sum(n ** ALPHA[m] for n in sums.values())
+        assert all(abs(mass[g] / (n ** ALPHA[m] / whole) - 1) < 1.1e-3 for g, n in sums.items())
+
+
+def test_impossible_targets_are_named(spark):
+    """Language x occurs in source a only, which may have no more than a half."""
+    df = spark.createDataFrame([("a", "x", "p", 5), ("a", "y", "p", 2), ("b", "y", "p", 9)], "source string, lang string, topic string, n long")
+    with pytest.warns(UserWarning, match="lang|source"):
+        got = raked(df, weights={"source": {"a": 1, "b": 1}, "lang": {"x": 3, "y": 1}}).collect()
+    assert len(got) == 3 and np.isclose(sum(r.mass for r in got), 1)
+
+
 def test_sampling_follows_probability(spark):
     rows = [(i, "some words of a text", "en", "big" if i % 10 else "small") for i in range(4000)]
     out = mixing_weights(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
