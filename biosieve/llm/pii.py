@@ -1,8 +1,8 @@
 """Personal data: fixed patterns, and terms whose co-occurrence gives a protected value away.
 
-A term t near a protected value e discloses the share PMI(t; e) / IC(e) of the information of e, both
+A term t in a text with a protected value e discloses the share PMI(t; e) / IC(e) of the information of e, both
 estimated from document counts: IC(e) = -log2(n_e / N), PMI = log2(n_te N / (n_t n_e)). A term found
-only next to e discloses all of it, a common word next to nothing. Terms above a threshold are
+only with e discloses all of it, a common word next to nothing. Terms above a threshold are
 generalised, those above a higher one removed.
 """
 
@@ -70,61 +70,85 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _neighbours(text: str, spans: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """``entity, term, start, end``: terms within ``window`` terms of a span and outside all spans."""
+def _hashed(value: str | bytes) -> int:
+    return xxhash.xxh3_64_intdigest(value) - (1 << 63)
+
+
+def _entities(text: str, spans: list[tuple[int, int, int]]) -> list[int]:
+    return sorted({_hashed(f"{kind}:{text[start:end].lower()}") for start, kind, end in spans})
+
+
+def _terms(text: str) -> list[tuple[int, int, int]]:
+    """``term, start, end`` of every term of the text outside all pattern matches."""
     covered: list[list[int]] = []
-    for start, _, end in spans:
+    for start, _, end in base_spans(text):
         if covered and start < covered[-1][1]:
             covered[-1][1] = max(covered[-1][1], end)
         else:
             covered.append([start, end])
-    terms = []
+    out = []
     for m in _TERM.finditer(text):
         i = bisect_left(covered, [m.end()])
         if not i or covered[i - 1][1] <= m.start():
-            terms.append((m.start(), m.end()))
-    starts = [s for s, _ in terms]
-    hashed = lambda s: xxhash.xxh3_64_intdigest(s) - (1 << 63)
-    out = []
-    for start, kind, end in spans:
-        entity = hashed(f"{kind}:{text[start:end].lower()}")
-        a = bisect_left(starts, start)
-        z = bisect_left(starts, end)
-        for s, e in terms[max(0, a - window) : a] + terms[z : z + window]:
-            word = text[s:e].encode().translate(_FOLD)
-            if e - s >= 3 and not word.isdigit():
-                out.append((entity, hashed(word), s, e))
+            out.append((_hashed(m[0].encode().translate(_FOLD)), m.start(), m.end()))
     return out
 
 
-def scan(docs: DataFrame, window: int) -> DataFrame:
-    """Per row: ``doc_id, row`` (digest of id and text), counts, ``base`` spans and ``near`` terms.
-
-    ``near.once`` is 1 for the first place of a term near an entity in the text, else 0; ``entities``
-    lists the distinct entities.
-    """
+def scan(docs: DataFrame) -> DataFrame:
+    """Per row: ``doc_id, row`` (digest of id and text), ``base`` spans and the distinct ``entities``."""
 
     def find(batch):
-        out = {c: [] for c in ("doc_id", "row", "base", "near", "entities")}
+        out = {c: [] for c in ("doc_id", "row", "base", "entities")}
         out["doc_id"] = batch.column(0)
         for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = raw.decode("utf-8", "replace")
             spans = base_spans(text)
-            seen, near = set(), []
-            for entity, term, s, e in _neighbours(text, spans, window) if spans else ():
-                near.append({"entity": entity, "term": term, "start": s, "end": e, "once": int((entity, term) not in seen)})
-                seen.add((entity, term))
             out["row"].append(xxhash.xxh3_128_digest(b"%r:" % doc + raw))
             out["base"].append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
-            out["near"].append(near)
-            out["entities"].append(sorted({e for e, _ in seen}))
+            out["entities"].append(_entities(text, spans))
         return out
 
-    schema = (
-        "doc_id long, row binary, base array<struct<start: int, kind: int, end: int>>, "
-        "near array<struct<entity: long, term: long, start: int, end: int, once: int>>, entities array<long>"
-    )
-    return per_batch(id_and_text(docs), find, schema)
+    return per_batch(id_and_text(docs), find, "doc_id long, row binary, base array<struct<start: int, kind: int, end: int>>, entities array<long>")
+
+
+def texts_of(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """``row, text, entities`` of the rows of ``docs`` that ``held`` (row, entity) lists; repeated rows are repeated."""
+
+    def digests(batch):
+        pairs = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        # only texts with a pattern match can be listed
+        pairs = [(d, t) for d, t in pairs if base_spans(t.decode("utf-8", "replace"))]
+        return {"row": [xxhash.xxh3_128_digest(b"%r:" % d + t) for d, t in pairs], "text": [t for _, t in pairs]}
+
+    listed = held.groupBy("row").agg(F.collect_list("entity").alias("entities"))
+    return per_batch(id_and_text(docs), digests, "row binary, text binary").join(listed, "row")
+
+
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """``entity, term, n_te``: number of rows of ``texts_of`` that hold both."""
+
+    def count(batch):
+        found: Counter = Counter()
+        for raw, entities in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            terms = {t for t, _, _ in _terms(raw.decode("utf-8", "replace"))}
+            found.update((e, t) for e in entities for t in terms)
+        return {"entity": [e for e, _ in found], "term": [t for _, t in found], "n": list(found.values())}
+
+    counted = per_batch(texts.select("text", "entities"), count, "entity long, term long, n long", rows=256)
+    return counted.groupBy("entity", "term").agg(F.sum("n").alias("n_te"))
+
+
+def term_places(texts: DataFrame) -> DataFrame:
+    """``row, terms`` from ``row, text, wanted``: all places of the wanted terms (``term, kind``) in the text."""
+
+    def mark(batch):
+        out = []
+        for raw, wanted in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            kinds = {w["term"]: w["kind"] for w in wanted}
+            out.append([{"start": s, "kind": kinds[t], "end": e} for t, s, e in _terms(raw.decode("utf-8", "replace")) if t in kinds])
+        return {"row": batch.column(0), "terms": out}
+
+    return per_batch(texts.select("row", "text", "wanted"), mark, "row binary, terms array<struct<start: int, kind: int, end: int>>")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -139,35 +163,35 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return per_batch(id_and_text(docs).select("text"), count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
-def personal_data(
-    docs: DataFrame, window: int = 5, support: int = 2, generalise: float = 0.75, remove: float = 0.95
-) -> DataFrame:
+def personal_data(docs: DataFrame, support: int = 2, generalise: float = 0.75, remove: float = 0.95) -> DataFrame:
     """Spans of personal data in every text.
 
     Returns ``doc_id, row, spans`` per row of ``docs``; ``spans`` is an array of ``start, kind, end``
     sorted by start and kind, in code points with an exclusive end; ``kind`` indexes ``KINDS``. Kind
-    term marks words within ``window`` terms of a protected value that disclose a share of at least
-    ``generalise`` of it, seen together in at least ``support`` texts; ``remove`` tells 5 (remove)
-    from 4 (generalise) in ``sanitise``.
+    term marks every place of the words, numbers among them, in a text with a protected value that disclose
+    a share of at least ``generalise`` of it, seen in at least ``support`` texts with it; ``remove`` tells
+    5 (remove) from 4 (generalise) in ``sanitise``.
 
     Entities of one spelling are one protected value over the whole corpus. A null or empty text has
     no spans. Repeated rows count as separate texts and get equal spans; a null id is carried along.
     An empty table gives no rows; other columns are ignored; texts are searched whole.
     """
-    found = stored(scan(docs, window), "pii-scan")
-    near = found.select("row", F.explode("near").alias("x")).select("row", "x.*")
-    together = near.groupBy("entity", "term").agg(F.sum("once").alias("n_te")).filter(F.col("n_te") >= support)
-    together = stored(together, "pii-pairs")
-    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    wanted = together.select("term").distinct()
-    n_t = term_counts(docs).join(wanted, "term", "left_semi").withColumnRenamed("n", "n_t")
+    found = stored(scan(docs), "pii-scan")
     total = found.count()
+    n_e = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    # no term is in more texts with a value than the value itself
+    n_e = stored(n_e.filter((F.col("n_e") >= support) & (F.col("n_e") < total)), "pii-values")
+    held = found.select("row", F.explode("entities").alias("entity")).distinct().join(n_e.select("entity"), "entity")
+    held = stored(held.select("row", "entity"), "pii-held")
+    texts = stored(texts_of(docs, held), "pii-texts")
+    together = stored(pair_counts(texts).filter(F.col("n_te") >= support), "pii-pairs")
+    n_t = term_counts(docs).join(together.select("term").distinct(), "term", "left_semi").withColumnRenamed("n", "n_t")
     share = F.log2(F.col("n_te") * total / (F.col("n_t") * F.col("n_e"))) / -F.log2(F.col("n_e") / total)
-    revealing = together.join(n_e, "entity").join(n_t, "term").filter(F.col("n_e") < total).withColumn("share", share)
-    revealing = revealing.filter(F.col("share") >= generalise).select("entity", "term", (F.col("share") >= remove).alias("gone"))
-    kind = F.max(F.when(F.col("gone"), 5).otherwise(4))
-    places = near.join(revealing, ["entity", "term"]).groupBy("row", "start", "end").agg(kind.alias("kind"))
-    terms = places.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("terms"))
+    revealing = together.join(n_e, "entity").join(n_t, "term").withColumn("share", share)
+    revealing = revealing.filter(F.col("share") >= generalise).select("entity", "term", F.when(F.col("share") >= remove, 5).otherwise(4).alias("kind"))
+    wanted = held.join(revealing, "entity").groupBy("row", "term").agg(F.max("kind").alias("kind"))
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("term", "kind")).alias("wanted"))
+    terms = term_places(texts.select("row", "text").dropDuplicates(["row"]).join(wanted, "row"))
     spans = F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms")))
     return found.join(terms, "row", "left").select("doc_id", "row", spans.alias("spans"))
 

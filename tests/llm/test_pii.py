@@ -71,3 +71,14 @@ def test_odd(odd, odd_rows, empty):
     assert sorted((r.doc_id or 0, r.n_email) for r in got) == sorted((d or 0, len(EMAIL.findall(t or ""))) for d, t, *_ in odd_rows)
     assert span_digest(personal_data(empty)).collect() == []
     assert len(sanitise(odd).collect()) == len(odd_rows)
+
+
+def test_disclosure_anywhere(spark):
+    """A far name, a staff number and a short name are found, at every place in the text."""
+    plain = "the report is there for all of the people who read it and then send it on "
+    rows = [(i, plain) for i in range(40)]
+    rows += [(100 + i, f"Zebediah 48213 Xu {plain}zeb@site.example.org {plain}Zebediah again") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in sanitise(docs, personal_data(docs)).collect()}
+    assert not [w for w in ("Zebediah", "48213", "Xu", "zeb@") for i in range(3) if w in clean[100 + i]]
+    assert clean[0] == plain and clean[100].count("people") == 2
