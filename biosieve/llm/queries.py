@@ -18,6 +18,7 @@ from biosieve.llm.neighbours import nearest
 from biosieve.llm.pii import personal_data, span_digest
 from biosieve.llm.quality import quality_scores
 from biosieve.llm.token_output import encode_corpus
+from biosieve.llm.toxicity import toxicity_scores
 from biosieve.llm.vector_codes import compress
 
 QUERIES, ORACLES = {}, {}
@@ -107,6 +108,11 @@ def op10_disclosure_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(personal_data(table(spark, sf_dir, "documents")))
 
 
+@query("op11_clause_grammar")
+def op11_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op12_overlapped_resampling")
 def op12_overlapped_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
