@@ -247,11 +247,19 @@ def features(sums: np.ndarray, matched: np.ndarray, n_words: np.ndarray) -> np.n
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> np.ndarray:
     """Weights of a logistic model by Newton's method, drawn towards a plain reading of the grammar."""
     start = np.array([-3.0, 1.0, 0.5, 1.0, 0.0])
+
+    def loss(w):
+        z = x @ w
+        return (np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((w - start) ** 2).sum()
+
     w = start.copy()
-    for _ in range(40):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         slope = x.T @ (y - p) - ridge * (w - start)
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1]), slope)
+        # the loss is convex, so a short enough step lessens it
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-12:
+            step /= 2
         w = w + step
         if np.abs(step).max() < 1e-9:
             break

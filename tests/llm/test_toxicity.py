@@ -85,7 +85,7 @@ def test_fit_is_the_optimum():
     rng = np.random.default_rng(1)
     x = np.hstack([np.ones((300, 1)), rng.normal(size=(300, 4))])
     y = (rng.random(300) < 1 / (1 + np.exp(-(x @ [-1, 2, 0, 1, 0])))).astype(float)
-    loss = lambda w: -np.sum(y * np.log(1 / (1 + np.exp(-x @ w))) + (1 - y) * np.log(1 - 1 / (1 + np.exp(-x @ w)))) + 0.25 * ((w - [-3, 1, 0.5, 1, 0]) ** 2).sum()
+    loss = lambda w: np.sum(np.logaddexp(0, x @ w) - y * (x @ w)) + 0.25 * ((w - [-3, 1, 0.5, 1, 0]) ** 2).sum()
     best = fit(x, y)
     assert all(loss(best) <= loss(best + step) for step in 0.01 * rng.normal(size=(50, 5)))
 
