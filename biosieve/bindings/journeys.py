@@ -40,10 +40,9 @@ _CUT = "substr({c}, 1, CAST(3 + size % 9 AS INT)) || substr({c}, CAST(5 + size %
 
 
 @query("candidate_funnel", sql(f"""SELECT scientific_name, round(score, 6) AS score FROM (SELECT matched_name AS scientific_name, max(score) AS score FROM
-    (SELECT matched_name, 1 - levenshtein(lower(submitted_name), lower(matched_name)) / CAST(greatest(length(submitted_name), length(matched_name)) AS DOUBLE) AS score,
-       levenshtein(lower(submitted_name), lower(matched_name)) AS d
+    (SELECT matched_name, 1 - levenshtein(lower(submitted_name), lower(matched_name)) / CAST(greatest(length(submitted_name), length(matched_name)) AS DOUBLE) AS score
      FROM (SELECT DISTINCT {_CUT.format(c='preferred_scientific_name')} AS submitted_name FROM candidates WHERE (class IS NULL OR class NOT IN {IN_CLASSES}) AND invasive_somewhere = 'invasive' AND preferred_scientific_name IS NOT NULL),
-          (SELECT DISTINCT {_PART} AS matched_name FROM part)) WHERE d <= 1 AND score >= 0.8 GROUP BY matched_name)
+          (SELECT DISTINCT {_PART} AS matched_name FROM part)) WHERE score >= 0.8 GROUP BY matched_name)
   WHERE scientific_name NOT IN (SELECT replace(species_latin, '_', ' ') FROM completed)
     AND NOT EXISTS (SELECT 1 FROM part WHERE p_size = 9 AND regexp_matches(scientific_name, '^' || replace(p_name, ' ', '.+') || ' LARGE'))""", "candidates", "completed"))
 def _(spark, sf):
@@ -51,7 +50,7 @@ def _(spark, sf):
     part = table(spark, sf, "part")
     reference = part.selectExpr(f"{_PART} AS matched_name", "'parts' AS data_source_title")
     patterns = part.filter("p_size = 9").selectExpr("'^' || replace(p_name, ' ', '.+') || ' LARGE' AS scientific_name")
-    out = candidate_funnel(cand, reference, load(spark, sf, "completed"), patterns, CLASSES, "parts", max_edits=1)
+    out = candidate_funnel(cand, reference, load(spark, sf, "completed"), patterns, CLASSES, "parts")
     return r6(out.select("scientific_name", "score"), "score")
 
 

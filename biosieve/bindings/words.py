@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from biosieve.bindings.base import load, query, r6, sql, table
 from biosieve.operators import naming as N
+from biosieve.plans.candidates import rejected_names
 
 _NAME = "p_name || ' ' || p_type || ' ' || p_brand"
 _BACKBONE = f"backbone AS (SELECT upper(replace({_NAME}, ' ', '_')) AS canonical_name, CASE WHEN min(p_size) > 40 THEN NULL ELSE min(p_partkey) END AS usage_key FROM part GROUP BY 1)"
@@ -65,15 +66,26 @@ def _(spark, sf):
     return N.remove_regulated(load(spark, sf, "candidates"), _patterns(spark, sf, _REGULATED), "preferred_scientific_name", "pattern").select("preferred_scientific_name", "size")
 
 
-# every name with one letter missing, looked up among all names
-_SHORT = f"substr({_NAME}, 1, CAST(3 + p_partkey % 9 AS INT)) || substr({_NAME}, CAST(5 + p_partkey % 9 AS INT))"
+# every name with one to six letters in a row left out, doubled or replaced
+_AT, _N = "CAST(3 + p_partkey % 9 AS INT)", "CAST(1 + p_partkey % 6 AS INT)"
+_ODD = f"substr({_NAME}, 1, {_AT}) || CASE p_partkey % 3 WHEN 0 THEN '' WHEN 1 THEN substr('qzxjvk', 1, {_N}) ELSE substr({_NAME}, {_AT}, 2 * {_N}) END || substr({_NAME}, {_AT} + 1 + {_N})"
 _KEY = "trim(regexp_replace(lower(replace({c}, '_', ' ')), '\\s+', ' ', 'g'))"
+_SCORED = f"""scored AS (SELECT submitted_name, matched_name, 1 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE) AS score
+  FROM (SELECT DISTINCT {_ODD} AS submitted_name, {_KEY.format(c=_ODD)} AS a FROM part), (SELECT DISTINCT {_NAME} AS matched_name, {_KEY.format(c=_NAME)} AS b FROM part))"""
 
 
-@query("resolve_names", sql(f"""SELECT submitted_name, matched_name, round(1 - d / CAST(greatest(length(a), length(b)) AS DOUBLE), 6) AS score, 'parts' AS data_source_title
-  FROM (SELECT *, levenshtein(a, b) AS d FROM (SELECT DISTINCT {_SHORT} AS submitted_name, {_KEY.format(c=_SHORT)} AS a FROM part), (SELECT DISTINCT {_NAME} AS matched_name, {_KEY.format(c=_NAME)} AS b FROM part)) WHERE d <= 2"""))
-def _(spark, sf):
+def _spelt(spark, sf):
+    """Submitted names and the reference list."""
     part = table(spark, sf, "part")
-    names = part.selectExpr(f"{_SHORT} AS submitted_name")
-    reference = part.selectExpr(f"{_NAME} AS matched_name", "'parts' AS data_source_title")
-    return r6(N.resolve_names(names, reference), "score")
+    return part.selectExpr(f"{_ODD} AS submitted_name"), part.selectExpr(f"{_NAME} AS matched_name", "'parts' AS data_source_title")
+
+
+@query("resolve_names", sql("SELECT submitted_name, matched_name, round(score, 6) AS score, 'parts' AS data_source_title FROM scored WHERE score >= 0.8", ctes=_SCORED))
+def _(spark, sf):
+    return r6(N.resolve_names(*_spelt(spark, sf)), "score")
+
+
+@query("rejected_names", sql("""SELECT submitted_name, round(max(score), 6) AS score, count(*) AS n_matches FROM scored WHERE score >= 0.7
+  GROUP BY submitted_name HAVING max(score) < 0.8""", ctes=_SCORED))
+def _(spark, sf):
+    return r6(rejected_names(*_spelt(spark, sf)), "score")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from biosieve.constants import MIN_NAME_SCORE
 from biosieve.functions.names import canonical_key
 from biosieve.session import spread, task_count
 
@@ -97,49 +98,113 @@ def remove_regulated(names: DataFrame, patterns: DataFrame, name: str, pattern:
     return names.join(hit, F.col(name) == F.col("_name"), "left_anti")
 
 
-def _shortened(names: DataFrame, name: str, max_edits: int) -> DataFrame:
-    """Hashes ``_f`` of each name and of all its forms with up to ``max_edits`` letters removed.
+# letters with the number of their copies a signature tells apart: 62 bits
+_COUNTED = {c: 3 if c in "aeio" else 4 if c == " " else 2 for c in "abcdefghijklmnopqrstuvwxyz 0123"}
 
-    Letters are removed from left to right, each form remembering where it was last cut, so that
-    every choice of letters is formed once. Each removal is a plain expansion of rows, which stays
-    in compiled code.
+
+def _signature(text: Column) -> Column:
+    """Bits for the first, second, … copy of common letters; an edit changes at most two of them."""
+    bits, at = F.lit(0).cast("long"), 0
+    for letter, most in _COUNTED.items():
+        copies = F.length(text) - F.length(F.replace(text, F.lit(letter), F.lit("")))
+        # n copies set the n lowest of the letter's bits
+        ones = F.call_function("shiftleft", F.lit(1).cast("long"), F.least(copies, F.lit(most))) - 1
+        bits = bits.bitwiseOR(F.shiftleft(ones, at))
+        at += most
+    return bits
+
+
+def _budget(longer: Column, min_score: float) -> Column:
+    """Most edits with which two names, the longer one of this length, keep the score."""
+    return F.floor((1 - min_score) * longer + 1e-9).cast("int")
+
+
+def _segment(length: Column, budget: Column, i: Column) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of a name in ``budget`` + 1 segments, the later ones longer where they differ."""
+    base, longer = F.floor(length / (budget + 1)).cast("int"), length % (budget + 1)
+    first_long = budget + 1 - longer
+    return (i * base + F.greatest(F.lit(0), i - first_long)).cast("int"), base + (i >= first_long).cast("int")
+
+
+def _index(names: DataFrame, name: str, min_score: float) -> DataFrame:
+    """``name, _sig, _start, _size, _key`` for each segment of each name, under every budget that a partner's length may call for."""
+    n = F.length(name)
+    rows = spread(names, name).select(name, _signature(F.col(name)).alias("_sig"), n.alias("_n"))
+    rows = rows.withColumn("_t", F.explode(F.sequence(_budget(F.col("_n"), min_score), _budget(F.floor(F.col("_n") / min_score + 1e-9), min_score))))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t"))))
+    start, size = _segment(F.col("_n"), F.col("_t"), F.col("_i"))
+    return rows.select(name, "_sig", start.alias("_start"), size.alias("_size"), F.xxhash64("_n", "_t", "_i", F.substring(F.col(name), start + 1, size)).alias("_key"))
+
+
+def _probes(names: DataFrame, name: str, min_score: float) -> DataFrame:
+    """``name, _sig, _t, _i, _at, _key``: the pieces of each name at which a partner of any possible length can have kept a segment.
+
+    Of the segments that stay whole, one has at most i edits before and budget - i behind it, i being its number; so it
+    is moved by so much at most, seen from the start and from the end.
     """
-    text, at = F.col("_text"), F.col("_at")
-    layer = spread(names, name).select(name, F.col(name).alias("_text"), F.lit(1).alias("_at"))
-    forms = layer
-    for _ in range(max_edits):
-        places = layer.filter(at <= F.length(text)).withColumn("_i", F.explode_outer(F.sequence(at, F.length(text))))
-        layer = places.select(
-            name,
-            F.concat(F.substring(text, F.lit(1), F.col("_i") - 1), F.substring(text, F.col("_i") + 1, F.length(text))).alias("_text"),
-            F.col("_i").alias("_at"),
-        )
-        forms = forms.unionByName(layer)
-    return forms.select(name, F.xxhash64("_text").alias("_f"))
-
-
-def resolve_names(
-    names: DataFrame, reference: DataFrame, name: str = "submitted_name", min_score: float = 0.0, max_edits: int = 2
-) -> DataFrame:
-    """Reference names equal to a submitted name or at most ``max_edits`` edits away.
+    n = F.length(name)
+    rows = spread(names, name).select(name, _signature(F.col(name)).alias("_sig"), n.alias("_len"))
+    shortest, longest = F.ceil(F.col("_len") * min_score - 1e-9), F.floor(F.col("_len") / min_score + 1e-9)
+    rows = rows.withColumn("_n", F.explode(F.sequence(shortest.cast("int"), longest.cast("int"))))
+    rows = rows.withColumn("_t", _budget(F.greatest("_len", "_n"), min_score)).filter(F.abs(F.col("_len") - F.col("_n")) <= F.col("_t"))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_t"))))
+    start, size = _segment(F.col("_n"), F.col("_t"), F.col("_i"))
+    shift, behind = F.col("_len") - F.col("_n"), F.col("_t") - F.col("_i")
+    first = F.greatest(start - F.col("_i"), start + shift - behind, F.lit(0))
+    last = F.least(start + F.col("_i"), start + shift + behind, F.col("_len") - size)
+    rows = rows.withColumn("_size", size).withColumn("_first", first).filter(F.col("_first") <= last).withColumn("_at", F.explode(F.sequence(F.col("_first"), last)))
+    return rows.select(name, "_sig", "_t", "_i", "_at", F.xxhash64("_n", "_t", "_i", F.substring(F.col(name), F.col("_at") + 1, F.col("_size"))).alias("_key"))
+
+
+def _close_pairs(a: DataFrame, b: DataFrame, min_score: float, group: int = 256) -> DataFrame:
+    """Distinct ``_a, _b`` within the edits that ``min_score`` leaves, from names ``_a`` and ``_b``.
+
+    A segment common to many names is divided into blocks of about ``group`` names on both sides. In the join, letter counts are
+    compared first, then the parts before and behind the shared segment, each with its own budget; so
+    next to nothing but pairs that are close is shuffled further.
+    """
+    probes = _probes(a, "_a", min_score).withColumnRenamed("_sig", "_sa")
+    index = _index(b, "_b", min_score).withColumnRenamed("_sig", "_sb")
+    blocks = lambda c: F.ceil(F.col(c) / group).cast("int")
+    sizes = probes.groupBy("_key").agg(F.count(F.lit(1)).alias("_pn")).join(index.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")), "_key")
+    sizes = sizes.select(F.col("_key").alias("_k"), blocks("_pn").alias("_pb"), blocks("_in").alias("_ib"))
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    own = lambda name, c: F.pmod(F.xxhash64(F.col(name), F.lit(1)), F.col(c)).cast("int")
+    key = ["_k", "_x", "_y"]
+    left = probes.join(sizes, F.col("_key") == F.col("_k")).withColumn("_x", own("_a", "_pb")).withColumn("_y", upto("_ib"))
+    right = index.join(sizes, F.col("_key") == F.col("_k")).withColumn("_y", own("_b", "_ib")).withColumn("_x", upto("_pb"))
+    left, right = left.select(*key, "_a", "_sa", "_t", "_i", "_at"), right.select(*key, "_b", "_sb", "_start", "_size")
+    # an edit takes one letter away at most, and adds one at most
+    alike = "bit_count(_sa & ~_sb) <= _t AND bit_count(_sb & ~_sa) <= _t"
+    before = "levenshtein(substring(_a, 1, _at), substring(_b, 1, _start), _i) >= 0"
+    behind = "levenshtein(substring(_a, _at + _size + 1), substring(_b, _start + _size + 1), _t - _i) >= 0"
+    met = spread(left, *key).join(spread(right, *key), key)
+    return met.filter(F.expr(f"{alike} AND {before} AND {behind}")).select("_a", "_b").distinct()
+
+
+def resolve_names(names: DataFrame, reference: DataFrame, name: str = "submitted_name", min_score: float = MIN_NAME_SCORE) -> DataFrame:
+    """Reference names that score at least ``min_score`` for a submitted name.
 
     ``reference`` holds ``matched_name, data_source_title``. Returns ``submitted_name, matched_name,
-    score, data_source_title`` with score = 1 - edits / longer length, 1 for equal canonical forms.
+    score, data_source_title`` with score = 1 - edits / longer length over canonical forms. The score alone
+    decides: the number of edits it leaves follows from the lengths of both names.
+
+    A pair within d edits shares one of d + 1 segments of the reference name, moved by few letters, so candidates
+    come from an equi-join on (length, budget, segment number, text); see ``_close_pairs``. Names are made distinct first. A name has
+    about (1 - ``min_score``)^3 length^3 probes, so names are expected to be short (a hundred letters or so).
 
-    Two names within d edits share a form with at most d letters removed, so candidates come from
-    an equi-join on those forms. Unlike blocks on a common prefix or piece, such keys are shared
-    only by near-identical names, so no block grows with the list. Names are made distinct first.
+    ``min_score`` must exceed 0.5, below which no segment need be shared. Missing names match nothing.
     """
+    if not 0.5 < min_score <= 1:
+        raise ValueError("min_score must be over 0.5 and at most 1")
     left = names.select(F.col(name).alias("submitted_name")).filter(F.col("submitted_name").isNotNull()).distinct().withColumn("_a", canonical_key("submitted_name"))
     right = reference.select("matched_name", "data_source_title").filter(F.col("matched_name").isNotNull()).distinct().withColumn("_b", canonical_key("matched_name"))
-    a = _shortened(left.select("_a").distinct(), "_a", max_edits)
-    b = _shortened(right.select("_b").distinct(), "_b", max_edits)
-    candidates = spread(a.join(b, "_f").select("_a", "_b").distinct(), "_a", "_b")
-    # the distance is costly: as a generated column the filter on it cannot be moved below and
-    # evaluate it a second time
-    edits = F.explode_outer(F.array(F.levenshtein("_a", "_b", max_edits)))
-    pairs = candidates.withColumn("_d", edits).filter(F.col("_d") >= 0)
-    score = 1 - F.col("_d") / F.greatest(F.length("_a"), F.length("_b"), F.lit(1))
+    pairs = _close_pairs(left.select("_a").distinct(), right.select("_b").distinct(), min_score)
+    # as a generated column the distance is not evaluated again by the filter on it
+    longer = F.greatest(F.length("_a"), F.length("_b"))
+    edits = F.explode_outer(F.array(F.expr(f"levenshtein(_a, _b, CAST(floor({1 - min_score!r} * greatest(length(_a), length(_b)) + 1e-9) AS INT))")))
+    pairs = spread(pairs, "_a", "_b").withColumn("_d", edits).filter(F.col("_d") >= 0)
+    score = 1 - F.col("_d") / F.greatest(longer, F.lit(1))
     return (
         left.join(pairs, "_a")
         .join(right, "_b")

@@ -19,7 +19,7 @@ def candidate_funnel(
     regulated: DataFrame,
     classes=K.EXCLUDED_CLASSES,
     source: str = K.NAME_SOURCE,
-    max_edits: int = 2,
+    min_score: float = K.MIN_NAME_SCORE,
 ) -> DataFrame:
     """Resolved names still to assess: in scope, invasive somewhere, confidently named, neither assessed nor regulated.
 
@@ -28,9 +28,20 @@ def candidate_funnel(
     """
     invasive = P.invasive_history(P.exclude_classes(candidates, classes=classes))
     named = P.named_only(invasive, "preferred_scientific_name")
-    resolved = resolve_names(named, reference, "preferred_scientific_name", max_edits=max_edits)
-    confident = P.confident_names(resolved, source)
+    resolved = resolve_names(named, reference, "preferred_scientific_name", min_score)
+    confident = P.confident_names(resolved, source, min_score)
     order = [F.desc("score"), "submitted_name"]
     first = first_per_key(confident, ["matched_name"], order).withColumnRenamed("matched_name", "scientific_name")
     open_names = anti_names(first, completed, "scientific_name", "species_latin", normalise=True)
     return remove_regulated(open_names, regulated.select(F.col("scientific_name").alias("pattern")), "scientific_name", "pattern")
+
+
+def rejected_names(names: DataFrame, reference: DataFrame, name: str = "submitted_name", min_score: float = K.MIN_NAME_SCORE, floor: float = 0.7) -> DataFrame:
+    """Names set aside as confused: something resembles them, but nothing from ``min_score`` on.
+
+    Returns ``submitted_name, score, n_matches``: the best score of each and how many reference names reach
+    ``floor``. Names without any match from ``floor`` on are unknown rather than confused.
+    """
+    resolved = resolve_names(names, reference, name, floor)
+    best = resolved.groupBy("submitted_name").agg(F.max("score").alias("score"), F.count_distinct("matched_name").alias("n_matches"))
+    return best.filter(F.col("score") < min_score)

@@ -116,17 +116,34 @@ def _levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("edits", [1, 2])
-def test_spelling_matches_brute_force(spark, edits):
-    random.seed(edits)
-    word = lambda: "".join(random.choices("ab c", k=random.randint(0, 8)))
-    names, refs = {word() for _ in range(80)}, {word() for _ in range(80)} | {"abc abc"}
+@pytest.mark.parametrize("min_score", [0.55, 0.7, 0.8, 1.0])
+def test_spelling_matches_brute_force(spark, min_score):
+    """Only the score decides; with few letters and lengths of 0 to 30 it allows for up to 13 edits."""
+    random.seed(int(100 * min_score))
+    word = lambda most: "".join(random.choices("ab c", k=random.randint(0, most)))
+    edited = lambda w: "".join(random.choice(["", c, c, c, c, c + random.choice("abx")]) for c in w)
+    refs = {word(8) for _ in range(60)} | {word(30) for _ in range(60)} | {"abc abc", "Ab_c"}
+    names = {word(8) for _ in range(40)} | {edited(r) for r in refs}
     nd = spark.createDataFrame([(n,) for n in names] + [(None,)], "submitted_name string")
-    rd = spark.createDataFrame([(n, "list") for n in refs], "matched_name string, data_source_title string")
+    rd = spark.createDataFrame([(n, "list") for n in refs] + [(None, "list")], "matched_name string, data_source_title string")
     canon = lambda s: re.sub(r"\s+", " ", s.replace("_", " ")).strip(" ").lower()
-    want = {(a, b) for a in names for b in refs if _levenshtein(canon(a), canon(b)) <= edits}
-    got = N.resolve_names(nd, rd, max_edits=edits).collect()
+    score = lambda a, b: 1 - _levenshtein(a, b) / max(len(a), len(b), 1)
+    want = {(a, b) for a in names for b in refs if score(canon(a), canon(b)) >= min_score}
+    got = N.resolve_names(nd, rd, min_score=min_score).collect()
     assert {(r["submitted_name"], r["matched_name"]) for r in got} == want and len(got) == len(want)
+    assert all(abs(r["score"] - score(canon(r["submitted_name"]), canon(r["matched_name"]))) < 1e-12 for r in got)
+
+
+def test_spelling_join_has_keys_only(spark):
+    """Seven edits of a long name are found; every join of the plan has equality keys; bounds that leave no shared segment are refused."""
+    nd = spark.createDataFrame([("rhododendron ferrugineum var qqqqqq",)], "submitted_name string")
+    rd = spark.createDataFrame([("rhododendron ferrugineum var. alba", "list")], "matched_name string, data_source_title string")
+    out = N.resolve_names(nd, rd)
+    assert [round(r["score"], 4) for r in out.collect()] == [0.8]
+    text = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in text and "Cartesian" not in text
+    with pytest.raises(ValueError):
+        N.resolve_names(nd, rd, min_score=0.5)
 
 
 def test_backbone_ignores_form(spark):
