@@ -10,7 +10,6 @@ from array import array
 import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from biosieve.llm import elias_fano
@@ -49,7 +48,7 @@ class Encoder:
     the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 120_000):
+    def __init__(self, path: str, end_id: int, keep: int = 220_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
@@ -179,44 +178,74 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     per_batch(ordered, blocks, _BLOCK).write.option("compression", "zstd").parquet(path)
 
 
-def read_blocks(spark, path: str) -> DataFrame:
-    """The blocks with ``base``, the number of ids in earlier parts.
+def part_bases(spark, path: str) -> dict[int, int]:
+    """Number of ids before each part: a row for each task that wrote, added up in order."""
+    totals = spark.read.schema(_BLOCK).parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()
+    bases, before = {}, 0
+    for part, n in sorted((r["part"], r["n"]) for r in totals):
+        bases[part] = before
+        before += n
+    return bases
 
-    Parts are as many as the tasks that wrote them; only their totals are added up in order.
-    """
-    blocks = spark.read.schema(_BLOCK).parquet(path)
-    totals = blocks.groupBy("part").agg(F.sum("n_ids").alias("_n"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    bases = totals.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("base"))
-    return blocks.join(bases, "part")
+
+def _block_documents(row: dict, base: int):
+    """``doc_id, start, ids`` (an array) of each document of a block."""
+    ends = elias_fano.EliasFano(row["ends"]).values().astype(np.int64)
+    known = elias_fano.EliasFano(row["doc_ids"]).values().astype(np.int64) + row["least"]
+    ids = np.frombuffer(row["ids"], f"<u{row['width']}").astype("<u4")
+    starts = np.concatenate([[0], ends[:-1]])
+    before = base + row["at"]
+    yield from zip([None] * row["n_null"] + known.tolist(), (starts + before).tolist(), (ids[a:z] for a, z in zip(starts, ends)))
 
 
 def read_documents(spark, path: str) -> DataFrame:
     """``doc_id, start, ids`` (little-endian 32-bit numbers) of each document, taken from the files."""
+    bases = part_bases(spark, path)
 
     def documents(batch):
-        out = {"doc_id": [], "start": [], "ids": []}
-        for row in batch.to_pylist():
-            ends = elias_fano.EliasFano(row["ends"]).values().astype(np.int64)
-            known = elias_fano.EliasFano(row["doc_ids"]).values().astype(np.int64) + row["least"]
-            ids = np.frombuffer(row["ids"], f"<u{row['width']}")
-            starts = np.concatenate([[0], ends[:-1]])
-            out["doc_id"] += [None] * row["n_null"] + known.tolist()
-            out["start"] += (starts + row["base"] + row["at"]).tolist()
-            out["ids"] += [ids[a:z].astype("<u4").tobytes() for a, z in zip(starts, ends)]
-        return out
+        doc, start, ids = zip(*((d, s, i.tobytes()) for row in batch.to_pylist() for d, s, i in _block_documents(row, bases[row["part"]])))
+        return {"doc_id": doc, "start": start, "ids": ids}
 
-    return per_batch(read_blocks(spark, path), documents, "doc_id long, start long, ids binary")
+    return per_batch(spark.read.schema(_BLOCK).parquet(path), documents, "doc_id long, start long, ids binary", rows=8)
 
 
 def read_digests(spark, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of each document, computed from the files."""
+    bases = part_bases(spark, path)
 
     def digests(batch):
-        ids = batch.column(2).to_pylist()
-        return {"doc_id": batch.column(0), "start": batch.column(1), "n_tokens": [len(b) // 4 for b in ids], "ids_crc32": [zlib.crc32(b) for b in ids]}
+        found = ((d, s, len(i), zlib.crc32(i)) for row in batch.to_pylist() for d, s, i in _block_documents(row, bases[row["part"]]))
+        return dict(zip(("doc_id", "start", "n_tokens", "ids_crc32"), zip(*found)))
+
+    return per_batch(spark.read.schema(_BLOCK).parquet(path), digests, "doc_id long, start long, n_tokens long, ids_crc32 long", rows=8)
 
-    return per_batch(read_documents(spark, path), digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+def read_document(spark, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of one document, once for each row that had the id, without decoding any sequence whole.
+
+    Blocks hold ascending ids, so the least id of each says which may hold it; in these a binary search over
+    ``select`` finds its places, and two more selects its ends.
+    """
+    blocks = spark.read.schema(_BLOCK).parquet(path).filter((F.col("least") <= doc_id) & (F.col("n_docs") > F.col("n_null"))).drop("at")
+
+    def find(batch):
+        out = []
+        for row in batch.to_pylist():
+            ids, ends = elias_fano.EliasFano(row["doc_ids"]), elias_fano.EliasFano(row["ends"])
+            known = row["n_docs"] - row["n_null"]
+            low, high = 0, known
+            while low < high:
+                middle = (low + high) // 2
+                low, high = (middle + 1, high) if ids.select(middle) + row["least"] < doc_id else (low, middle)
+            while low < known and ids.select(low) + row["least"] == doc_id:
+                place = row["n_null"] + low
+                a, z = (ends.select(place - 1) if place else 0), ends.select(place)
+                out.append((row["part"], row["block"], low, np.frombuffer(row["ids"], f"<u{row['width']}")[a:z].astype("<u4").tobytes()))
+                low += 1
+        return dict(zip(("part", "block", "place", "ids"), zip(*out))) if out else {c: [] for c in ("part", "block", "place", "ids")}
+
+    found = per_batch(blocks, find, "part int, block int, place int, ids binary", rows=8).orderBy("part", "block", "place").collect()
+    return [np.frombuffer(r["ids"], "<u4") for r in found]
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0) -> DataFrame:

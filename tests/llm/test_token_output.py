@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__ as E
 from biosieve.llm import elias_fano
-from biosieve.llm.token_output import Encoder, encode_corpus, read_documents, write_tokens
+from biosieve.llm.token_output import Encoder, encode_corpus, read_document, read_documents, write_tokens
 from biosieve.session import scratch_path
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -72,3 +72,13 @@ def test_elias_fano(steps, first):
 def test_elias_fano_size():
     ends = np.cumsum(np.full(10_000, 500, dtype=np.uint64))
     assert len(elias_fano.encode(ends)) < 10_000 * (2 + 9 + 0.3) / 8
+
+
+def test_one_document_by_select(spark, odd, odd_rows, library):
+    """Every document is found in small blocks by select alone, repeated ids once for each row, unknown ids not at all."""
+    path = scratch_path(spark, "tokens")
+    write_tokens(odd, path, block_ids=8)
+    for doc in {r[0] for r in odd_rows if r[0] is not None}:
+        want = sorted([*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t, *_ in odd_rows if d == doc)
+        assert sorted(i.tolist() for i in read_document(spark, path, doc)) == want
+    assert read_document(spark, path, 4711) == [] and read_document(spark, path, -1) == []
