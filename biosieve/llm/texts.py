@@ -27,18 +27,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", raw_text())
 
 
-def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str, rows: int | None = None) -> DataFrame:
+def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], dict], schema: str | StructType, rows: int | None = None) -> DataFrame:
     """Apply ``fn`` to Arrow batches; it returns the columns named in ``schema``.
 
     ``rows`` cuts the batches, where ``fn`` gains nothing from many rows, so that few texts are held as objects at once.
     """
-    spark_schema: StructType = _parse_datatype_string(schema)
+    spark_schema: StructType = _parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, step) for b in batches for step in [rows or max(1, b.num_rows)] for at in range(0, b.num_rows, step)):
             columns = fn(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([c if isinstance(c := columns[f.name], pa.Array) and c.type == f.type else pa.array(c, type=f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
