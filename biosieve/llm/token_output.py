@@ -48,7 +48,7 @@ class Encoder:
     the vocabulary of the corpus.
     """
 
-    def __init__(self, path: str, end_id: int, keep: int = 220_000):
+    def __init__(self, path: str, end_id: int, keep: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
