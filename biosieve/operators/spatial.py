@@ -2,8 +2,9 @@
 
 Regions are edge tables (see ``sources.geography.polygon_edges``). A region is cut into square
 cells: cells that no edge touches are wholly inside or outside and settle their points by a key
-lookup; only points in cells touched by an edge are tested against the edges of their row of cells.
-Tests are planar in the coordinates given; a point on an edge counts as inside.
+lookup; a point in a touched cell meets the edges of that cell alone, starting from an anchor of
+the cell for which it is known whether it is inside. Tests are planar in the coordinates given; a
+point on an edge counts as inside.
 """
 
 from __future__ import annotations
@@ -11,97 +12,102 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biosieve.functions.projection import EARTH_RADIUS, METRES_PER_DEGREE, haversine_m
 from biosieve.session import durable
 
 _PAD = 1e-9
-
-
-def _parity_hits(points: DataFrame, edges: DataFrame, x: str, y: str) -> DataFrame:
-    """Rows of ``points`` (keyed by ``_r`` and ``region``) inside or on their region.
-
-    ``edges`` lists each edge once per row of cells it reaches. Crossings of a ray towards +x are
-    counted with half-open edges. Each place is tested once and the rows at it are joined back, so
-    repeated rows stay and cost nothing; partial counts are merged before and after a shuffle.
-    """
-    place = ["_r", "region", x, y]
-    px, py = F.col(x), F.col(y)
-    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    straddles = (y1 > py) != (y2 > py)
-    crossing = straddles & (px < F.try_divide((x2 - x1) * (py - y1), y2 - y1) + x1)
-    on_edge = (
-        ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
-        & px.between(F.least(x1, x2), F.greatest(x1, x2))
-        & py.between(F.least(y1, y2), F.greatest(y1, y2))
-    )
-    hits = (
-        points.select(*place).distinct().join(edges, ["_r", "region"])
-        .filter(px <= F.greatest(x1, x2))
-        .withColumn("_cross", F.when(crossing, 1).otherwise(0))
-        .withColumn("_on", on_edge)
-        .filter((F.col("_cross") == 1) | F.col("_on"))
-        .groupBy(*place)
-        .agg(F.bit_xor("_cross").alias("_odd"), F.bool_or("_on").alias("_on"))
-        .filter((F.col("_odd") == 1) | F.col("_on"))
-        .select(*[F.col(c).alias(f"_hit_{i}") for i, c in enumerate(place)])
-    )
-    same = [F.col(c) == F.col(f"_hit_{i}") for i, c in enumerate(place)]
-    return points.join(hits, same, "left_semi")
+_ANCHOR = (math.sqrt(5) - 1) / 2  # height of the anchors within a row; no usual coordinate falls on it
 
 
 @dataclass
 class RegionIndex:
-    """Regions cut into cells of ``size``: edges per row, touched cells and inner cells."""
+    """Regions cut into cells of ``size``: the edges of each touched cell, and the cells wholly inside."""
 
     size: float
     edges: DataFrame
-    touched: DataFrame
     inner: DataFrame
 
 
 def region_index(edges: DataFrame, size: float = 1.0) -> RegionIndex:
-    """Cut regions into cells. Choose ``size`` so that a row of cells holds few edges per region.
+    """Cut regions into cells. Choose ``size`` so that a cell holds few edges.
 
-    The index is stored, because its tables enter a point test several times. Build it once and pass
-    it on when several point tables meet the same regions.
+    Each edge is listed in the cells it touches. All anchors of a row of cells lie on one line, each
+    on the left side of its cell, so an anchor is inside if an odd number of edges cross the line in
+    its cell and those behind it: one running sum over the touched cells of a row. The same sum
+    settles the cells between two touched ones. Listing and sums are stored. Build the index once and
+    pass it on when several point tables meet the same regions.
     """
-    row = lambda v: F.floor(v / size).cast("long")
-    ylo, yhi = F.least("y1", "y2"), F.greatest("y1", "y2")
+    cell = lambda v: F.floor(v / size).cast("long")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    ylo, yhi = F.least(y1, y2), F.greatest(y1, y2)
     by_row = edges.select("region", "x1", "y1", "x2", "y2").withColumn(
-        "_r", F.explode(F.sequence(row(ylo - _PAD), row(yhi + _PAD)))
+        "_r", F.explode(F.sequence(cell(ylo - _PAD), cell(yhi + _PAD)))
     )
-    by_row = durable(by_row)
+    at = lambda y: x1 + F.try_divide((x2 - x1) * (y - y1), y2 - y1)
+    line = (F.col("_r") + _ANCHOR) * size
+    by_row = by_row.withColumn("_line", line).withColumn("_cross", F.when((y1 > line) != (y2 > line), cell(at(line))))
     # x range of the edge within its row, slightly widened, gives the cells it may touch
-    bottom, top = F.greatest(ylo, F.col("_r") * size - _PAD), F.least(yhi, (F.col("_r") + 1) * size + _PAD)
-    at = lambda yy: F.col("x1") + (F.col("x2") - F.col("x1")) * (yy - F.col("y1")) / (F.col("y2") - F.col("y1"))
-    flat = F.col("y1") == F.col("y2")
-    xa = F.when(flat, F.col("x1")).otherwise(at(bottom))
-    xb = F.when(flat, F.col("x2")).otherwise(at(top))
-    pad = _PAD * (1 + F.greatest(F.abs("x1"), F.abs("x2")))
-    touched = (
-        by_row.select("region", "_r", F.explode(F.sequence(row(F.least(xa, xb) - pad), row(F.greatest(xa, xb) + pad))).alias("_c"))
-        .distinct()
+    flat = y1 == y2
+    xa = F.when(flat, x1).otherwise(at(F.greatest(ylo, F.col("_r") * size - _PAD)))
+    xb = F.when(flat, x2).otherwise(at(F.least(yhi, (F.col("_r") + 1) * size + _PAD)))
+    pad = _PAD * (1 + F.greatest(F.abs(x1), F.abs(x2)))
+    cells = F.sequence(F.least(cell(F.least(xa, xb) - pad), "_cross"), F.greatest(cell(F.greatest(xa, xb) + pad), "_cross"))
+    listed = durable(by_row.withColumn("_c", F.explode(cells)))
+    behind = Window.partitionBy("region", "_r").orderBy(F.desc("_c"))
+    touched = durable(
+        listed.groupBy("region", "_r", "_c")
+        .agg(F.count_if(F.col("_cross") == F.col("_c")).alias("_n"))
+        .select("region", "_r", "_c", (F.sum("_n").over(behind) % 2 == 1).alias("_in"), F.lead("_c").over(behind).alias("_before"))
     )
-    touched = durable(touched)
-    # cells between the first and the last touched cell of a row that no edge touches
-    spans = touched.groupBy("region", "_r").agg(F.min("_c").alias("_a"), F.max("_c").alias("_b"))
-    free = (
-        spans.select("region", "_r", F.explode(F.sequence("_a", "_b")).alias("_c"))
-        .join(touched, ["region", "_r", "_c"], "left_anti")
-        .withColumn("_x", (F.col("_c") + 0.5) * size)
-        .withColumn("_y", (F.col("_r") + 0.5) * size)
-    )
-    inner = durable(_parity_hits(free, by_row, "_x", "_y").select("region", "_r", "_c"))
-    return RegionIndex(size, by_row, touched, inner)
+    gaps = touched.filter(F.col("_in") & (F.col("_c") - F.col("_before") > 1))
+    inner = gaps.select("region", "_r", F.explode(F.sequence(F.col("_before") + 1, F.col("_c") - 1)).alias("_c"))
+    return RegionIndex(size, listed.join(touched.drop("_before"), ["region", "_r", "_c"]), inner)
 
 
 def _keyed(points: DataFrame, size: float, x: str, y: str) -> DataFrame:
     return points.withColumn("_r", F.floor(F.col(y) / size).cast("long")).withColumn("_c", F.floor(F.col(x) / size).cast("long"))
 
 
+def _held_places(places: DataFrame, index: RegionIndex, x: str, y: str) -> DataFrame:
+    """Distinct ``(region, _px, _py)`` of the keyed places that lie in touched cells, inside or on their region.
+
+    From the anchor of the cell one goes along its line to below or above the place, then up or down
+    to it; each edge crossed changes the side. The turning point is put on the same side of an edge
+    for both legs (a tie counts as above, beside an upright edge as right), so rounding there cancels.
+    Repeated places are met once.
+    """
+    px, py, line = F.col("_px"), F.col("_py"), F.col("_line")
+    x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
+    height = (x2 - x1) * (line - y1) - (px - x1) * (y2 - y1)
+    rising = (x2 > x1) == (y2 > y1)
+    above_turn = F.when(x2 > x1, height >= 0).otherwise(height <= 0)
+    left_turn = F.when(x1 == x2, px < x1).otherwise(above_turn == rising)
+    left = px < F.try_divide((x2 - x1) * (py - y1), y2 - y1) + x1
+    above = F.when((y1 > py) != (y2 > py), left == rising).otherwise(py >= F.greatest(y1, y2))
+    along = F.col("_cross").isNotNull() & ((F.col("_cross") >= F.col("_c")) != left_turn)
+    upright = ((x1 > px) != (x2 > px)) & (above_turn != above)
+    on_edge = (
+        ((x2 - x1) * (py - y1) == (px - x1) * (y2 - y1))
+        & px.between(F.least(x1, x2), F.greatest(x1, x2))
+        & py.between(F.least(y1, y2), F.greatest(y1, y2))
+    )
+    return (
+        places.select("_r", "_c", F.col(x).alias("_px"), F.col(y).alias("_py")).distinct()
+        .join(index.edges, ["_r", "_c"])
+        .groupBy("region", "_px", "_py")
+        .agg(
+            F.bit_xor(F.when(along, 1).otherwise(0).bitwiseXOR(F.when(upright, 1).otherwise(0))).alias("_odd"),
+            F.bool_or(on_edge).alias("_on"),
+            F.first("_in").alias("_in"),
+        )
+        .filter(F.col("_on") | ((F.col("_odd") == 1) != F.col("_in")))
+        .select("region", "_px", "_py")
+    )
+
+
 def within_region(
     points: DataFrame, edges: DataFrame, x: str = "lon", y: str = "lat", size: float = 1.0, index: RegionIndex | None = None
 ) -> DataFrame:
@@ -112,8 +118,8 @@ def within_region(
     index = index or region_index(edges, size)
     keyed = _keyed(points, index.size, x, y)
     sure = keyed.join(index.inner, ["_r", "_c"])
-    near = keyed.join(index.touched, ["_r", "_c"])
-    tested = _parity_hits(near, index.edges, x, y)
+    held = _held_places(keyed, index, x, y)
+    tested = points.join(held, (F.col(x) == F.col("_px")) & (F.col(y) == F.col("_py")))
     columns = [*points.columns, "region"]
     return sure.select(*columns).unionByName(tested.select(*columns))
 
@@ -124,14 +130,14 @@ def on_land(
     """Points inside at least one land polygon, each kept once."""
     index = index or region_index(land, size)
     keyed = _keyed(points, index.size, x, y)
-    inner = index.inner.select("_r", "_c").distinct()
-    sure = keyed.join(inner, ["_r", "_c"], "left_semi")
-    near = keyed.join(index.touched.join(inner, ["_r", "_c"], "left_anti"), ["_r", "_c"])
-    # one row per region hit: a row is kept once if any region holds its place
-    held = _parity_hits(near.select("_r", "region", x, y).distinct(), index.edges, x, y).select(x, y).distinct()
-    edge = keyed.join(inner, ["_r", "_c"], "left_anti").select(*points.columns)
-    tested = edge.join(held.select(F.col(x).alias("_hx"), F.col(y).alias("_hy")), (F.col(x) == F.col("_hx")) & (F.col(y) == F.col("_hy")), "left_semi")
-    return sure.select(*points.columns).unionByName(tested)
+    inner = index.inner.select("_r", "_c", F.lit(True).alias("_sure")).distinct()
+    held = _held_places(keyed, index, x, y).select("_px", "_py", F.lit(True).alias("_held")).distinct()
+    return (
+        keyed.join(inner, ["_r", "_c"], "left")
+        .join(held, (F.col(x) == F.col("_px")) & (F.col(y) == F.col("_py")), "left")
+        .filter(F.col("_sure") | F.col("_held"))
+        .select(*points.columns)
+    )
 
 
 def drop_species_present(

@@ -165,3 +165,28 @@ def test_mask_and_template(spark):
     results = spark.createDataFrame([(0, 0, 2), (0, 0, 5), (1, 1, None)], "row long, col long, score int")
     out = {(r["row"], r["col"]): r["score"] for r in G.results_to_grid(results, grid.template(spark)).collect()}
     assert len(out) == 9 and out[(0, 0)] == 5 and out[(1, 1)] is None
+
+
+def test_comb_with_thousands_of_edges_in_a_row_of_cells(spark):
+    teeth = 2000
+    top = [(i * 0.02 + d, 0.9 if d else 0.1) for i in range(teeth) for d in (0.0, 0.01)]
+    comb = [(0.0, 0.0), *top, (teeth * 0.02, 0.0)]
+    rng = np.random.default_rng(8)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(rng.uniform(-1, 41, 400), rng.uniform(-0.1, 1.0, 400)))]
+    edges = _edges(spark, [("comb", 0, comb)])
+    index = X.region_index(edges, 0.5)
+    df = spark.createDataFrame(pts, "id int, lon double, lat double")
+    got = sorted(r["id"] for r in X.within_region(df, edges, index=index).collect())
+    assert got == [i for i, x, y in pts if _brute(x, y, [comb])]
+    # the row holds all edges, a cell only those that touch it
+    assert index.edges.groupBy("_r", "_c").count().agg(F.max("count")).first()[0] < 60
+    assert index.edges.filter("_r = 0").count() > teeth
+
+
+def test_places_and_edges_meet_by_cell(spark):
+    edges = _edges(spark, [("r", 0, SQUARE), ("r", 1, HOLE)])
+    df = spark.createDataFrame([(1.5, 1.5), (None, 1.0), (1.0, None), (float("nan"), 1.0)], "lon double, lat double")
+    plan = X.within_region(df, edges)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("region" in line for line in joins)
+    assert X.within_region(df, edges).count() == 0
