@@ -38,8 +38,8 @@ def pieces(item: str, count: int) -> list[tuple[int, str]]:
     return [(a, item[a:z]) for a, z in zip(cuts, cuts[1:])]
 
 
-def best_match(pattern: str, text: str) -> tuple[int, int]:
-    """Smallest edit distance of ``pattern`` to any stretch of ``text``, and the first place where such a stretch ends.
+def near_ends(pattern: str, text: str, most: int) -> list[tuple[int, int]]:
+    """``(end, distance)`` for each place of ``text`` where a stretch with at most ``most`` edits to ``pattern`` ends.
 
     Myers' algorithm: the differences along a column of the distance table are two bit vectors, so a
     character costs a few operations on integers of the pattern's length.
@@ -50,7 +50,7 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
         at[c] |= 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     plus, minus, score = full, 0, m
-    best, end = m, 0
+    found = []
     for j, c in enumerate(text, 1):
         eq = at.get(c, 0)
         vertical = eq | minus
@@ -64,9 +64,53 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
         up, down = (up << 1) & full, (down << 1) & full
         plus = down | (full & ~(vertical | up))
         minus = up & vertical
-        if score < best:
-            best, end = score, j
-    return best, end
+        if score <= most:
+            found.append((j, score))
+    return found
+
+
+def best_match(pattern: str, text: str) -> tuple[int, int]:
+    """Smallest edit distance of ``pattern`` to any stretch of ``text``, and the first place where such a stretch ends."""
+    return min(((score, end) for end, score in near_ends(pattern, text, len(pattern) - 1)), default=(len(pattern), 0))
+
+
+def exact_stretches(pattern: str, text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """Places of ``pattern`` in ``text[lo:hi]`` from left to right, each beginning at the last one's final blank or behind it."""
+    out = []
+    at = text.find(pattern, lo, hi)
+    while at >= 0:
+        out.append((at, at + len(pattern)))
+        at = text.find(pattern, at + len(pattern) - 1, hi)
+    return out
+
+
+def near_stretches(pattern: str, text: str, lo: int, hi: int, errors: int) -> list[tuple[int, int, int]]:
+    """``start, end, distance`` of stretches of ``text[lo:hi]`` near ``pattern``, from left to right.
+
+    The ends that belong to one copy lie within twice the budget; the first best of them is taken and
+    its start found backwards. The search goes on behind it, a blank between two stretches serving both.
+    """
+    out, free = [], lo
+    ends = [(lo + end, score) for end, score in near_ends(pattern, text[lo:hi], errors)]
+    i = 0
+    while i < len(ends):
+        if ends[i][0] - free < len(pattern) - errors:
+            i += 1
+            continue
+        j = i
+        while j < len(ends) and ends[j][0] <= ends[i][0] + 2 * errors:
+            j += 1
+        end, _ = min(ends[i:j], key=lambda e: (e[1], e[0]))
+        back = text[max(free, end - len(pattern) - errors) : end][::-1]
+        distance, length = best_match(pattern[::-1], back)
+        if distance > errors:  # its start lies in the stretch before
+            i += 1
+            continue
+        out.append((end - length, end, distance))
+        free = end - 1 if text[end - 1] == " " else end
+        while i < len(ends) and ends[i][0] <= end:
+            i += 1
+    return out
 
 
 class PieceIndex:
@@ -90,7 +134,8 @@ class PieceIndex:
     def hits(self, text: str) -> list[tuple[int, int, int, int]]:
         """``item, start, end, distance`` for each stretch of ``text`` (in normal form) near an item.
 
-        Windows around hits of one item that overlap are verified together and give their best match.
+        Windows around hits of one item that overlap are searched together from end to end: first for exact
+        copies, then what lies between these for near ones. Stretches of one item share no more than a blank.
         """
         if self.empty or not text:
             return []
@@ -109,14 +154,14 @@ class PieceIndex:
         for number, own in windows.items():
             item, pattern, errors = self.items[number]
             for lo, hi in own:
-                exact = text.find(pattern, lo, hi)
-                if exact >= 0:
-                    out.append((item, exact, exact + len(pattern), 0))
-                    continue
-                distance, end = best_match(pattern, text[lo:hi])
-                if distance <= errors:
-                    back = text[max(0, lo + end - len(pattern) - errors) : lo + end][::-1]
-                    out.append((item, lo + end - best_match(pattern[::-1], back)[1], lo + end, distance))
+                free = lo
+                for start, end in [*exact_stretches(pattern, text, lo, hi), (hi, hi)]:
+                    upto = min(start + 1, hi)
+                    if upto - free >= len(pattern) - errors:
+                        out += [(item, *found) for found in near_stretches(pattern, text, free, upto, errors)]
+                    if end > start:
+                        out.append((item, start, end, 0))
+                        free = end - 1
         return sorted(set(out))
 
 

@@ -118,15 +118,27 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.vstack([c.flatten().to_numpy().reshape(len(c), -1) for c in column.chunks if len(c)])
 
 
+def _exact(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the rows ``i`` of ``q`` and ``j`` of ``x``, summed alike wherever a pair is met."""
+    parts = [(q[i[a : a + 8192]] * x[j[a : a + 8192]]).sum(axis=1) for a in range(0, len(i), 8192)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def search_cell(points: pa.Table, queries: pa.Table, k: int, longest: float, stretch: float) -> pa.Table:
-    """``query_id, cid, score``: up to ``k`` best points of a part of a cell for each query, above the query's bound."""
+    """``query_id, cid, score``: up to ``k`` best points of a part of a cell for each query, not below the query's bound.
+
+    Matrix products pick the pairs that can matter, with slack for their rounding; exact scores decide,
+    ties going to the smaller ``cid``.
+    """
     empty = pa.table({"query_id": pa.array([], pa.int64()), "cid": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not points.num_rows or not queries.num_rows:
         return empty
+    points = points.sort_by("cid")
     x, xp, cid = _matrix(points.column("v")), _matrix(points.column("p")), points.column("cid").to_numpy()
     q, qp, query = _matrix(queries.column("v")), _matrix(queries.column("p")), queries.column("query_id").to_numpy()
     bound = queries.column("bound").to_numpy()
     norm = np.linalg.norm(q, axis=1)
+    slack = 1e-12 * norm * longest
     leaves = split(xp, LEAF)
     low = np.array([xp[leaf].min(axis=0) for leaf in leaves])
     high = np.array([xp[leaf].max(axis=0) for leaf in leaves])
@@ -139,8 +151,8 @@ def search_cell(points: pa.Table, queries: pa.Table, k: int, longest: float, str
     who = np.full((len(q), k), -1, np.int64)
     for turn in range(len(leaves)):
         leaf = order[:, turn]
-        kth = np.maximum(best.min(axis=1), bound)
-        reach = np.where(np.isfinite(kth), np.maximum(2 * longest**2 - 2 * longest * kth / norm, 0), np.inf)
+        kth = np.maximum(best[:, -1], bound)
+        reach = np.where(np.isfinite(kth), np.maximum(2 * longest**2 - 2 * longest * (kth - slack) / norm, 0), np.inf)
         active = np.flatnonzero(outside[np.arange(len(q)), leaf] <= stretch * reach)
         if not len(active):
             break
@@ -148,16 +160,25 @@ def search_cell(points: pa.Table, queries: pa.Table, k: int, longest: float, str
         cuts = np.flatnonzero(np.diff(leaf[active])) + 1
         for own in np.split(active, cuts):
             inside = leaves[leaf[own[0]]]
-            scores = np.hstack([best[own], q[own] @ x[inside].T])
-            ids = np.hstack([who[own], np.broadcast_to(inside, (len(own), len(inside)))])
-            top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            best[own], who[own] = np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
-    i, j = np.nonzero((who >= 0) & (best >= bound[:, None] - 1e-9 * np.abs(np.where(np.isfinite(bound), bound, 0))[:, None]))
-    if not len(i):
-        return empty
-    at = who[i, j]
-    exact = np.concatenate([(q[i[a : a + 8192]] * x[at[a : a + 8192]]).sum(axis=1) for a in range(0, len(i), 8192)])
-    return pa.table({"query_id": query[i], "cid": cid[at], "score": exact})
+            rough = q[own] @ x[inside].T
+            least = kth[own]
+            if len(inside) > k:
+                least = np.maximum(least, np.partition(rough, len(inside) - k, axis=1)[:, len(inside) - k])
+            row, column = np.nonzero(rough >= (least - 2 * slack[own])[:, None])
+            if not len(row):
+                continue
+            new = inside[column]
+            held_row, held = np.nonzero(who[own] >= 0)
+            rows = np.concatenate([held_row, row])
+            ids = np.concatenate([who[own][held_row, held], new])
+            scores = np.concatenate([best[own][held_row, held], _exact(q[own], x, row, new)])
+            sort = np.lexsort((ids, -scores, rows))
+            rows, ids, scores = rows[sort], ids[sort], scores[sort]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            kept = place < k
+            best[own[rows[kept]], place[kept]], who[own[rows[kept]], place[kept]] = scores[kept], ids[kept]
+    i, j = np.nonzero((who >= 0) & (best >= bound[:, None]))
+    return pa.table({"query_id": query[i], "cid": cid[who[i, j]], "score": best[i, j]}) if len(i) else empty
 
 
 def nearest(
@@ -167,7 +188,8 @@ def nearest(
     """The ``k`` vectors with the largest inner product for each query, nearest first.
 
     Returns ``query_id, rank, vec_id, score``. Queries are the rows that the condition ``is_query`` picks
-    (all by default); candidates are all rows but the query's own id; ties go to the smaller vec_id.
+    (all by default); candidates are all rows but the query's own id; among the rows found, ties of exact
+    scores go to the smaller vec_id, also where they cross the k-th place.
     Scores are inner products of the original vectors in double precision. Recall is at least
     ``confidence`` in expectation.
 

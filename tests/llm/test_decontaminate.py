@@ -1,7 +1,7 @@
 import random
 
 import __spark_entry__ as E
-from biosieve.llm.decontaminate import benchmark_hits, best_match, budget, drop_contaminated, normal_form, pieces
+from biosieve.llm.decontaminate import PieceIndex, benchmark_hits, best_match, budget, drop_contaminated, normal_form, pieces
 
 
 def distance(pattern, text):
@@ -53,7 +53,9 @@ def test_edits(spark):
     ]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     bench = spark.createDataFrame([(9, item), (10, None), (11, " .. ")], "item_id long, text string")
-    got = {r.doc_id: r.distance for r in benchmark_hits(docs, bench).collect()}
+    hits = benchmark_hits(docs, bench).collect()
+    assert [r.distance for r in hits if r.doc_id == 6] == [0, 0]
+    got = {r.doc_id: r.distance for r in hits}
     want = {d: x for d, t in texts if (x := distance(normal_form(item), normal_form(t))) <= k}
     assert k >= 4 and got == want and {1, 2, 5, 6} <= set(got)
     # blocks of items make no difference
@@ -61,6 +63,40 @@ def test_edits(spark):
     assert cut == got
 
 
+def full_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, t in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (p != t))
+    return row[-1]
+
+
+def test_every_stretch_with_its_place_and_distance():
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(60)]
+    for _ in range(40):
+        item = normal_form(" ".join(rng.choices(words, k=25)))
+        errors = budget(item, 0.05)
+        text, planted = " ", []
+        for _ in range(rng.randrange(1, 7)):
+            if rng.random() < 0.5:  # else the next copy follows at once
+                text += " ".join(rng.choices(words, k=rng.randrange(1, 30))) + " "
+            copy = list(item[1:-1])
+            for _ in range(rng.randrange(0, errors + 1)):
+                at = rng.randrange(1, len(copy) - 1)
+                copy[at] = rng.choice("xyz")
+            planted.append((len(text) - 1, len(text) + len(copy) + 1))
+            text += "".join(copy) + " "
+        got = PieceIndex([(1, item)], 0.05).hits(text)
+        assert len(got) == len(planted)
+        for (_, start, end, found), (a, z) in zip(got, planted):
+            assert abs(start - a) <= errors and abs(end - z) <= errors
+            assert found == full_distance(item, text[start:end]) <= full_distance(item, text[a:z])
+            # no end nearby does better
+            assert found == min(distance(item, text[max(0, start - errors) : e]) for e in range(end - 2, min(len(text), end + 2) + 1))
+
+
 def test_odd(odd, empty, spark):
     bench = spark.createDataFrame([(1, "shared line of text"), (2, None)], "item_id long, text string")
     kept = drop_contaminated(odd, bench)

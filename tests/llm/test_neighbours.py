@@ -76,3 +76,31 @@ def test_tree():
 
 def test_quantile():
     assert abs(chi_square_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+def test_ties_of_different_vectors_go_to_the_smaller_id(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [1.0, float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(300, 2)), 1)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for cell_rows in (8192, 64):
+        got = found(nearest(vectors, 20, F.col("vec_id") == 0, cell_rows=cell_rows, confidence=1 - 1e-9))
+        assert got == {0: [(i, 1.0) for i in range(1, 21)]}
+
+
+def test_ties_within_a_cell():
+    import pyarrow as pa
+
+    from biosieve.llm.neighbours import search_cell
+
+    rng = np.random.default_rng(6)
+    x = rng.integers(-2, 3, (1000, 4)).astype(float)
+    cid = rng.permutation(1000)
+    q = rng.integers(-2, 3, (30, 4)).astype(float)
+    q[~q.any(axis=1)] = 1
+    table = lambda name, ids, m, **more: pa.table({name: ids, "v": list(m), "p": list(m[:, :2]), **more})
+    out = search_cell(table("cid", cid, x), table("query_id", np.arange(30), q, bound=np.full(30, -np.inf)), 21, 4.0, 1e6)
+    got = {}
+    for r in out.to_pylist():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["cid"]))
+    for i in range(30):
+        assert sorted(got[i]) == sorted(zip((-(x @ q[i])).tolist(), cid.tolist()))[:21]
