@@ -59,14 +59,32 @@ def polygon_edges(rings: DataFrame) -> DataFrame:
     """Edges ``(region, ring_id, x1, y1, x2, y2)`` of rings ``(region, ring_id, pts)``.
 
     ``pts`` is an array of ``struct<x,y>`` in ring order; an open ring is closed. Rings of one
-    region combine by the even-odd rule, so a ring inside another is a hole. Polygons that cross
-    the 180 degree meridian must be split before.
+    region combine by the even-odd rule, so a ring inside another is a hole.
+
+    Consecutive points more than 180 and less than 360 degrees apart are joined the short way, across
+    the 180 degree meridian. Such a ring is unrolled beyond it and listed a second time, a full turn
+    away, so that both sides of the meridian lie within one of the copies. A ring that goes around a
+    pole is an error.
     """
     closed = rings.filter(F.size("pts") >= 3).withColumn("pts", F.concat("pts", F.slice("pts", 1, 1)))
+    steps = "filter(transform(sequence(1, size(pts) - 1), i -> struct(i AS at, pts[i].x - pts[i - 1].x AS dx)), s -> abs(s.dx) > 180 AND abs(s.dx) < 360)"
+    crossing = closed.withColumn("_jumps", F.expr(f"transform({steps}, s -> struct(s.at AS at, -360D * signum(s.dx) AS turn))"))
+    turned = lambda upto: f"aggregate(filter(_jumps, j -> j.at <= {upto}), 0D, (sum, j) -> sum + j.turn)"
+    around = F.expr("aggregate(_jumps, 0D, (sum, j) -> sum + j.turn) <> 0")
+    message = F.concat_ws(" ", F.lit("ring around a pole, split it before:"), F.col("region").cast("string"), F.col("ring_id").cast("string"))
+    # the generator keeps the optimiser from computing the jumps anew for every corner
+    crossing = crossing.select("region", "ring_id", "pts", F.explode(F.array(F.when(around, F.raise_error(message)).otherwise(F.col("_jumps")))).alias("_jumps"))
+    corner = lambda at, name: f"struct(pts[{at}].x + {turned(at)} AS x, pts[{at}].y AS y) AS {name}"
+    unrolled = crossing.withColumn("e", F.expr(f"transform(sequence(1, size(pts) - 1), i -> struct({corner('i - 1', 'a')}, {corner('i', 'b')}))"))
+    copies = F.expr("filter(array(0D, if(exists(e, s -> s.a.x > 180), -360D, NULL), if(exists(e, s -> s.a.x < -180), 360D, NULL)), s -> s IS NOT NULL)")
+    copies = F.when(F.size("_jumps") > 0, copies).otherwise(F.array(F.lit(0.0)))
     return (
-        closed.select("region", "ring_id", F.expr("transform(sequence(1, size(pts) - 1), i -> struct(pts[i - 1] AS a, pts[i] AS b))").alias("e"))
-        .select("region", "ring_id", F.explode("e").alias("e"))
-        .select("region", "ring_id", F.col("e.a.x").alias("x1"), F.col("e.a.y").alias("y1"), F.col("e.b.x").alias("x2"), F.col("e.b.y").alias("y2"))
+        unrolled.select("region", "ring_id", "e", F.explode(copies).alias("_by"))
+        .select("region", "ring_id", "_by", F.explode("e").alias("e"))
+        .select(
+            "region", "ring_id", (F.col("e.a.x") + F.col("_by")).alias("x1"), F.col("e.a.y").alias("y1"),
+            (F.col("e.b.x") + F.col("_by")).alias("x2"), F.col("e.b.y").alias("y2"),
+        )
         .filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
     )
 

@@ -190,3 +190,25 @@ def test_places_and_edges_meet_by_cell(spark):
     joins = [line for line in plan.splitlines() if "Join" in line]
     assert joins and not any("region" in line for line in joins)
     assert X.within_region(df, edges).count() == 0
+
+
+def test_ring_across_the_meridian_equals_its_halves(spark):
+    whole = [(170.0, -10.0), (-170.0, -12.0), (-165.0, 5.0), (180.0, 9.0), (172.0, 4.0)]
+    hole = [(178.0, -2.0), (-178.0, -2.0), (-178.0, 2.0), (178.0, 2.0)]
+    east = [(170.0, -10.0), (180.0, -11.0), (180.0, 9.0), (172.0, 4.0)]
+    west = [(-180.0, -11.0), (-170.0, -12.0), (-165.0, 5.0), (-180.0, 9.0)]
+    halves = [("p", 0, east), ("p", 1, west), ("p", 2, [(178.0, -2.0), (180.0, -2.0), (180.0, 2.0), (178.0, 2.0)]),
+              ("p", 3, [(-180.0, -2.0), (-178.0, -2.0), (-178.0, 2.0), (-180.0, 2.0)])]
+    rng = np.random.default_rng(2)
+    xs = np.concatenate([rng.uniform(160, 180, 400), rng.uniform(-180, -160, 400), rng.uniform(-160, 160, 50)])
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(xs, rng.uniform(-15, 15, len(xs))))], "id int, lon double, lat double")
+    ids = lambda rings: sorted(r["id"] for r in X.within_region(df, _edges(spark, rings)).collect())
+    got = ids([("p", 0, whole), ("p", 1, hole)])
+    assert got == ids(halves) and 100 < len(got) < 700
+
+
+def test_ring_around_a_pole_is_an_error(spark):
+    with pytest.raises(Exception, match="around a pole.*cap 3"):
+        _edges(spark, [("cap", 3, [(0.0, -70.0), (120.0, -70.0), (-120.0, -70.0)])]).count()
+    # a box that spans the whole map, drawn along its borders, is no such ring
+    assert _edges(spark, [("map", 0, [(-180.0, -90.0), (180.0, -90.0), (180.0, 90.0), (-180.0, 90.0)])]).count() == 4
