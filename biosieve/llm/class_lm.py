@@ -11,6 +11,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import defaultdict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from biosieve.llm.texts import id_and_text, per_batch, stored
 
 END = b"\n"  # no word holds a line feed
 SHAPES = 251
-_WORD_TYPES = 1024  # types below are shapes, from here on words
+_WORD_TYPES = 1024  # types below are shapes, from here on places in the core
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -84,68 +85,61 @@ def blocks(docs: DataFrame) -> DataFrame:
     return per_batch(id_and_text(docs), encode, schema)
 
 
-def looked_up(table: DataFrame, frequent: int) -> DataFrame:
-    """Per document: ``doc_id, held, n_tokens, n_known, logs, types`` with the corpus counts of its words.
+def vocabulary(table: DataFrame, least: int) -> DataFrame:
+    """Every word of every block: ``block, place, word, shape, local, n, first``.
 
-    ``logs`` sums log10(count + 1); ``types`` holds, compressed, the type of each token: the word itself
-    where it occurs ``frequent`` times, else its shape. The first row of a block also says how many
-    distinct training words of each type (``own_types, own_words``) it answers for, every word
-    being counted in one block.
+    ``local`` counts the word in the block's training texts, ``n`` in all of them; ``first`` marks one block of each
+    word. ``word``, the hash, is kept where n reaches ``least`` only.
     """
     words = table.select("block", F.posexplode(F.arrays_zip("words", "shapes", "counts")).alias("place", "w")).select("block", "place", "w.*")
     # a word has one row per block at most, so its rows stay few however frequent it is
     same = W.partitionBy("words")
     total = words.withColumn("n", F.sum("counts").over(same)).withColumn("first", F.min("block").over(same) == F.col("block"))
-    kind = F.when(F.col("n") >= frequent, (F.col("words").bitwiseAND(F.lit(0x3FFFFFFF)) + _WORD_TYPES).cast("int")).otherwise(F.col("shapes"))
-    total = total.select("block", "place", "n", "first", kind.alias("type"))
+    return total.select(
+        "block", "place", F.when(F.col("n") >= least, F.col("words")).alias("word"), F.col("shapes").alias("shape"),
+        F.col("counts").alias("local"), "n", "first",
+    )
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        place = right.column("place").to_numpy()
-        n = np.zeros(len(place), np.int64)
-        types = np.zeros(len(place), np.int32)
-        n[place] = right.column("n").to_numpy()
-        types[place] = right.column("type").to_numpy()
-        answers = right.column("first").to_numpy(zero_copy_only=False) & (right.column("n").to_numpy() > 0)
-        own, per_type = np.unique(right.column("type").to_numpy()[answers], return_counts=True)
-        row = left.slice(0, 1).to_pylist()[0]
-        tokens = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["tokens"]), np.int32)
-        lengths = np.array(row["lengths"], np.int64)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-        logs = np.log10(n + 1.0)
-        sums = np.add.reduceat(logs[tokens], starts)
-        known = np.add.reduceat((n > 0)[tokens].astype(np.int64), starts)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        seq = types[tokens]
-        k = len(lengths)
-        return pa.table({
-            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held": pa.array(row["held"], pa.bool_()), "n_tokens": lengths, "n_known": known, "logs": sums,
-            "types": pa.array([squeeze(seq[a : a + z].tobytes()) for a, z in zip(starts, lengths)], pa.binary()),
-            "own_types": pa.array([own.tolist()] + [None] * (k - 1), pa.list_(pa.int32())),
-            "own_words": pa.array([per_type.tolist()] + [None] * (k - 1), pa.list_(pa.int64())),
-        })
 
-    schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, types binary, own_types array<int>, own_words array<long>"
-    texts = table.select("block", "doc_ids", "held", "lengths", "tokens")
-    return texts.groupBy("block").cogroup(total.groupBy("block")).applyInArrow(score, schema)
+def _unpacked(packed: bytes, kind: type = np.int32) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
+
 
+def _list(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
+    """The array column of a table of one row."""
+    column = table.column(name)
+    return (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).flatten().to_numpy(zero_copy_only=False)
 
-def _sequence(types: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(types), np.int32)
 
+def _steps(tokens: np.ndarray, lengths: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What stands before each token of the training texts, and the token; before a text stands its own end."""
+    ends = np.cumsum(lengths)
+    before = np.roll(tokens, 1)
+    before[ends - lengths] = tokens[ends - 1]
+    learnt = np.repeat(~held, lengths)
+    return before[learnt], tokens[learnt]
 
-def type_bigrams(scored: DataFrame) -> DataFrame:
-    """``t1, t2, n`` over the training texts, each read as if an end stood before it."""
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands among the sorted ones, and whether it does."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def type_bigrams(table: DataFrame, core: np.ndarray) -> DataFrame:
+    """``t1, t2, n`` over the training texts; the type of a word in ``core`` is its place there, of another its shape."""
 
     def count(batch):
-        found = [np.empty(0, np.int64)]
-        for held, types in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if not held:
-                t = _sequence(types).astype(np.int64)
-                found.append((np.roll(t, 1) << 32) | t)
-        pairs, n = np.unique(np.concatenate(found), return_counts=True)
+        at, is_core = _found(core, _list(batch, "words"))
+        types = np.where(is_core, at + _WORD_TYPES, _list(batch, "shapes"))
+        before, own = _steps(_unpacked(batch.column("tokens")[0].as_py()), _list(batch, "lengths"), _list(batch, "held"))
+        pairs, n = np.unique((types[before] << 32) | types[own], return_counts=True)
         return {"t1": (pairs >> 32).astype(np.int32), "t2": (pairs & 0xFFFFFFFF).astype(np.int32), "n": n}
 
-    return per_batch(scored.select("held", "types"), count, "t1 int, t2 int, n long").groupBy("t1", "t2").agg(F.sum("n").alias("n"))
+    rows = table.select("words", "shapes", "tokens", "lengths", "held")
+    return per_batch(rows, count, "t1 int, t2 int, n long", rows=1).groupBy("t1", "t2").agg(F.sum("n").alias("n"))
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -177,18 +171,27 @@ def best_class(own: int, left: np.ndarray, right: np.ndarray, self_count: float,
     return best if gain[best] > gain[own] + 1e-9 else own
 
 
-def exchange_classes(bigrams: DataFrame, classes: int, rounds: int) -> tuple[dict[int, int], np.ndarray]:
-    """Class of each type and the transition counts of the classes.
+def likelihood(matrix: np.ndarray) -> float:
+    """The part of the training texts' log-likelihood that depends on the classes, from their transition counts."""
+    return float(_phi(matrix).sum() - _phi(matrix.sum(axis=0)).sum() - _phi(matrix.sum(axis=1)).sum())
+
+
+def exchange_classes(bigrams: DataFrame, classes: int, rounds: int) -> tuple[dict[int, int], np.ndarray, list[float]]:
+    """Class of each type, the transition counts of the classes and the likelihoods on the way.
 
-    Every round counts the classes around each type and lets half of the types, chosen by a hash that
-    changes with the round, move to their best class at once. The number of types is bounded by the
-    frequency they need, so the assignment fits the driver; bigrams and profiles stay on the executors.
+    Every round counts the classes around each type and lets one half of the types, then the other, move to
+    their best class at once. A round after which the likelihood fell is taken back, and only half as many
+    types move at once from then on; rounds end when all types were tried and gained next to nothing.
+    The number of types is bounded by the frequency they need, so the assignment fits the driver; bigrams and
+    profiles stay on the executors.
     """
     sides = bigrams.select(F.col("t1").alias("t"), F.lit(True).alias("right"), F.col("t2").alias("other"), "n").unionByName(
         bigrams.select(F.col("t2").alias("t"), F.lit(False).alias("right"), F.col("t1").alias("other"), "n")
     )
     known = np.array(sorted(r["t"] for r in bigrams.select(F.explode(F.array("t1", "t2")).alias("t")).distinct().collect()), np.int64)
     assigned = np.array([xxhash.xxh3_64_intdigest(str(t).encode()) % classes for t in known], np.int64)
+    if not len(known):
+        return {}, np.zeros((classes, classes)), [0.0]
 
     def profiles(current: np.ndarray) -> DataFrame:
         def classify(batch):
@@ -199,7 +202,7 @@ def exchange_classes(bigrams: DataFrame, classes: int, rounds: int) -> tuple[dic
             }
 
         counted = per_batch(sides, classify, "t int, right boolean, c int, same long, n long")
-        return counted.groupBy("t", "right", "c").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
+        return stored(counted.groupBy("t", "right", "c").agg(F.sum("n").alias("n"), F.sum("same").alias("same")), "class-profiles")
 
     def transitions(counted: DataFrame, current: np.ndarray) -> np.ndarray:
         """At most classes^2 counts from each task, summed."""
@@ -208,21 +211,18 @@ def exchange_classes(bigrams: DataFrame, classes: int, rounds: int) -> tuple[dic
             of = current[np.searchsorted(known, batch.column(0).to_numpy().astype(np.int64))]
             return {"a": of, "c": batch.column(1), "n": batch.column(2)}
 
-        rows = per_batch(counted.filter("right").select("t", "c", "n"), collapse, "a int, c int, n long").groupBy("a", "c").agg(F.sum("n").alias("n")).collect()
-        m = np.zeros((classes, classes))
-        for r in rows:
-            m[r["a"], r["c"]] = r["n"]
-        return m
+        return _matrix(per_batch(counted.filter("right").select("t", "c", "n"), collapse, "a int, c int, n long"), classes)
 
-    for turn in range(rounds if len(known) else 0):
-        counted = stored(profiles(assigned), "class-profiles")
-        matrix = transitions(counted, assigned)
-        current = assigned.copy()
+    counted = profiles(assigned)
+    matrix = transitions(counted, assigned)
+    path, parts, turn = [likelihood(matrix)], 2, 0
+    for _ in range(rounds):
+        current, part = assigned, turn % parts
 
         def move(group: pa.Table) -> pa.Table:
             t = group.column("t")[0].as_py()
             own = int(current[np.searchsorted(known, t)])
-            if xxhash.xxh3_64_intdigest(f"{turn}:{t}".encode()) % 2 == 0:
+            if xxhash.xxh3_64_intdigest(f"half:{t}".encode()) % parts == part:
                 vectors = np.zeros((2, classes))
                 side = group.column("right").to_numpy(zero_copy_only=False).astype(int)
                 vectors[side, group.column("c").to_numpy()] = group.column("n").to_numpy()
@@ -231,58 +231,200 @@ def exchange_classes(bigrams: DataFrame, classes: int, rounds: int) -> tuple[dic
             return pa.table({"t": pa.array([t], pa.int32()), "c": pa.array([own], pa.int32())})
 
         moved = {r["t"]: r["c"] for r in counted.groupBy("t").applyInArrow(move, "t int, c int").collect()}
-        assigned = np.array([moved[int(t)] for t in known], np.int64)
-    matrix = transitions(profiles(assigned), assigned) if len(known) else np.zeros((classes, classes))
-    return dict(zip(known.tolist(), assigned.tolist())), matrix
+        tried = np.array([moved[int(t)] for t in known], np.int64)
+        around = profiles(tried)
+        after = transitions(around, tried)
+        turn += 1
+        if likelihood(after) < path[-1]:
+            parts *= 2
+            continue
+        assigned, counted, matrix = tried, around, after
+        path.append(likelihood(matrix))
+        if len(path) > parts and path[-1] - path[-1 - parts] <= 0.01 * (path[-1] - path[0]):
+            break
+    return dict(zip(known.tolist(), assigned.tolist())), matrix, path
+
+
+def _matrix(pairs: DataFrame, classes: int) -> np.ndarray:
+    """Sums of ``n`` by two classes ``a, c``, as many numbers as pairs of classes."""
+    m = np.zeros((classes, classes))
+    for r in pairs.groupBy("a", "c").agg(F.sum("n").alias("n")).collect():
+        m[r["a"], r["c"]] = r["n"]
+    return m
+
+
+def place_words(table: DataFrame, places: DataFrame, core: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray, matrix: np.ndarray) -> DataFrame:
+    """``word, class`` of the frequent words outside the core: each leaves its ending's class for its best one.
+
+    Blocks sum up the classes around each word, and the sums of the blocks are added before the shuffle, so
+    a word's size does not matter.
+    """
+    classes = len(matrix)
+    columns = [f"{side}{c}" for side in "lr" for c in range(classes)]
+
+    def around(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = shape_class[_list(left, "shapes")]
+        place, word = right.column("place").to_numpy(), right.column("word").to_numpy()
+        at, is_core = _found(core, word)
+        of[place[is_core]] = core_class[at[is_core]]
+        place, word = place[~is_core], word[~is_core]
+        number = np.full(len(of), -1, np.int64)
+        number[place] = np.arange(len(place))
+        before, own = _steps(_unpacked(left.column("tokens")[0].as_py()), _list(left, "lengths"), _list(left, "held"))
+        count = lambda keep, key: np.bincount(key[keep], minlength=len(place) * classes).reshape(len(place), classes)
+        sides = [count(number[own] >= 0, number[own] * classes + of[before]), count(number[before] >= 0, number[before] * classes + of[own])]
+        same = np.bincount(number[own][(own == before) & (number[own] >= 0)], minlength=len(place))
+        sums = np.concatenate(sides, axis=1).astype(np.int32)
+        return pa.table({"word": word, "own": of[place].astype(np.int32), "same": same} | {c: np.ascontiguousarray(sums[:, i]) for i, c in enumerate(columns)})
+
+    schema = "word long, own int, same long, " + ", ".join(f"{c} int" for c in columns)
+    texts = table.select("block", "shapes", "lengths", "held", "tokens")
+    words = places.filter("word IS NOT NULL").select("block", "place", "word")
+    counted = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(around, schema)
+    counted = counted.groupBy("word", "own").agg(F.sum("same").alias("same"), *(F.sum(c).alias(c) for c in columns))
+
+    def decide(batch):
+        own, same = batch.column("own").to_pylist(), batch.column("same").to_pylist()
+        sums = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(float)
+        best = [best_class(o, v[:classes], v[classes:], float(z), matrix) for o, z, v in zip(own, same, sums)]
+        return {"word": batch.column("word"), "class": best}
+
+    return per_batch(counted, decide, "word long, class int")
+
+
+def class_sequences(table: DataFrame, places: DataFrame, assigned: DataFrame, shape_class: np.ndarray) -> DataFrame:
+    """Per document: ``doc_id, held, n_tokens, n_known, logs, classes``.
+
+    ``logs`` sums log10(count + 1) over the tokens, ``classes`` holds the class of each, compressed. A word that no other
+    block has needs no row: its count is the block's own, its class its ending's.
+    """
+    frequent = places.filter("word IS NOT NULL").join(assigned, "word", "left").select("block", "place", "n", "class")
+    rare = places.filter("word IS NULL AND n <> local").select("block", "place", "n", F.lit(None).cast("int").alias("class"))
 
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, of = _list(left, "counts").astype(np.int64), shape_class[_list(left, "shapes")]
+        place = right.column("place").to_numpy()
+        n[place] = right.column("n").to_numpy()
+        named = right.column("class").is_valid().to_numpy(zero_copy_only=False).astype(bool)
+        of[place[named]] = right.column("class").drop_null().to_numpy()
+        tokens, lengths = _unpacked(left.column("tokens")[0].as_py()), _list(left, "lengths").astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        seq = of.astype(np.uint8)[tokens]
+        return pa.table({
+            "doc_id": pa.array(left.column("doc_ids")[0].as_py(), pa.int64()), "held": pa.array(_list(left, "held")), "n_tokens": lengths,
+            "n_known": np.add.reduceat((n > 0)[tokens].astype(np.int64), starts), "logs": np.add.reduceat(np.log10(n + 1.0)[tokens], starts),
+            "classes": pa.array([squeeze(seq[a : a + z].tobytes()) for a, z in zip(starts, lengths)], pa.binary()),
+        })
 
-def class_scores(docs: DataFrame, classes: int = 32, rounds: int = 4, least_share: float = 1e-4) -> DataFrame:
-    """Log10 probabilities of all texts, learnt from those that are not held out.
+    schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, classes binary"
+    texts = table.select("block", "shapes", "counts", "doc_ids", "held", "lengths", "tokens")
+    return texts.groupBy("block").cogroup(frequent.unionByName(rare).groupBy("block")).applyInArrow(score, schema)
 
-    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``.
-    base_score adds one to every count of a unigram model; score is the class model's: add-one
-    emissions within the class, transitions interpolated with the class's own frequency.
 
-    Words with at least ``least_share`` of the training tokens are clustered one by one (at most
-    1 / ``least_share``, at any corpus size), all others by their ending, as one unit per ending.
-    A word never seen is emitted by the class of its ending with count 0.
+def class_transitions(sequences: DataFrame, classes: int) -> np.ndarray:
+    """How often a class follows another in the training texts."""
 
-    A null or empty text is its end alone. Rows without ``doc_id`` are learnt from. Repeated rows count
-    each. No rows give no rows; other columns are ignored; texts are read whole. Where nothing is
-    left to learn from, every count is 0.
+    def count(batch):
+        m = np.zeros(classes * classes, np.int64)
+        for held, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if not held:
+                c = _unpacked(packed, np.uint8).astype(np.int64)
+                m += np.bincount(np.roll(c, 1) * classes + c, minlength=classes * classes)
+        at = np.flatnonzero(m)
+        return {"a": (at // classes).astype(np.int32), "c": (at % classes).astype(np.int32), "n": m[at]}
+
+    return _matrix(per_batch(sequences.select("held", "classes"), count, "a int, c int, n long"), classes)
+
+
+@dataclass
+class ClassModel:
+    """A clustering and the texts read by it."""
+
+    train: int  # training tokens
+    distinct: int  # different words among them
+    assigned: DataFrame  # word, class: of the words clustered one by one
+    shape_class: np.ndarray  # class of all other words, by shape
+    words: np.ndarray  # different training words of each class
+    matrix: np.ndarray  # transition counts
+    sequences: DataFrame  # see class_sequences
+
+
+def fit_classes(docs: DataFrame, classes: int = 32, rounds: int = 8, least_share: float = 1e-4, least: int = 50) -> ClassModel:
+    """Cluster the words of the training texts.
+
+    Words with ``least_share`` of the tokens (at most 1 / ``least_share``) and the endings of all others are clustered by
+    exchange. Every other word seen ``least`` times then moves to the class it fits best, unless
+    these moves together lower the likelihood. ``least`` does not grow with the corpus, so the clustered share does.
     """
+    if not 1 <= classes <= 256:
+        raise ValueError("classes must be between 1 and 256")
+    spark = docs.sparkSession
     table = stored(blocks(docs), "token-blocks", compression="uncompressed")
     train = table.select(F.sum(F.expr("aggregate(counts, 0L, (a, x) -> a + x)"))).first()[0] or 0
-    scored = stored(looked_up(table, max(1, int(np.ceil(least_share * train)))), "token-types", compression="uncompressed")
-    of, matrix = exchange_classes(stored(type_bigrams(scored), "type-bigrams"), classes, rounds)
-
-    own = scored.filter("own_types IS NOT NULL").select(F.explode(F.arrays_zip("own_types", "own_words")).alias("o"))
-    per_type = own.groupBy("o.own_types").agg(F.sum("o.own_words").alias("n")).collect()  # as many rows as types
+    share = max(1, int(np.ceil(least_share * train)))
+    low = min(least, share)
+    places = stored(vocabulary(table, low), "vocabulary")
+    core = np.array(sorted(r["word"] for r in places.filter((F.col("n") >= share) & F.col("first")).select("word").collect()), np.int64)
+    of, matrix, _ = exchange_classes(stored(type_bigrams(table, core), "type-bigrams"), classes, rounds)
+    shape_class = np.array([of.get(t, t % classes) for t in range(SHAPES)], np.int64)
+    core_class = np.array([of[_WORD_TYPES + i] for i in range(len(core))], np.int64)
+    assigned = spark.createDataFrame([(int(w), int(c)) for w, c in zip(core, core_class)], "word long, class int")
+
+    sequences = None
+    if low < share:
+        more = assigned.unionByName(stored(place_words(table, places, core, core_class, shape_class, matrix), "word-classes"))
+        sequences = stored(class_sequences(table, places, more, shape_class), "class-sequences", compression="uncompressed")
+        moved = class_transitions(sequences, classes)
+        if likelihood(moved) >= likelihood(matrix):
+            assigned, matrix = more, moved
+        else:
+            sequences = None
+    if sequences is None:
+        sequences = stored(class_sequences(table, places, assigned, shape_class), "class-sequences", compression="uncompressed")
+
+    # each word is counted in its first block, as its own class or with its ending
+    kinds = places.filter("first AND n > 0").join(assigned, "word", "left").groupBy("class", F.when(F.col("class").isNull(), F.col("shape")).alias("shape"))
     words = np.zeros(classes)
-    fallback = lambda t: of.get(t, t % classes)
-    for r in per_type:
-        words[fallback(r["own_types"])] += r["n"]
-    distinct = sum(r["n"] for r in per_type)
+    for r in kinds.count().collect():
+        words[shape_class[r["shape"]] if r["class"] is None else r["class"]] += r["count"]
+    return ClassModel(train, int(words.sum()), assigned, shape_class, words, matrix, sequences)
+
 
+def log_steps(matrix: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """log10 of going from a class to another and of emitting there a word of count 0; its log10(count + 1) comes on top."""
     tokens = matrix.sum(axis=0)
-    prior = (tokens + 1) / (tokens.sum() + classes)
+    prior = (tokens + 1) / (tokens.sum() + len(matrix))
     # Witten-Bell: the more different classes follow, the more weight goes to the prior
     after, kinds = matrix.sum(axis=1, keepdims=True), (matrix > 0).sum(axis=1, keepdims=True)
     weight = np.where(after > 0, after / np.maximum(after + kinds, 1), 0.0)
     step = np.log10(weight * matrix / np.maximum(after, 1) + (1 - weight) * prior[None, :] + 1e-300)
-    step -= np.log10(tokens + words + 1)[None, :]
-    known = np.array(sorted(of), np.int64)
-    class_of = np.array([of[t] for t in known.tolist()], np.int64)
-    base = float(np.log10(train + distinct + 1))
+    return step - np.log10(tokens + words + 1)[None, :]
+
+
+def class_scores(docs: DataFrame, classes: int = 32, rounds: int = 8, least_share: float = 1e-4, least: int = 50) -> DataFrame:
+    """Log10 probabilities of all texts, learnt from those that are not held out.
+
+    Returns ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` per row of ``docs``.
+    base_score adds one to every count of a unigram model; score is the class model's: add-one
+    emissions within the class, transitions interpolated with the class's own frequency.
+
+    Words seen ``least`` times are clustered one by one (see ``fit_classes``), all others by their ending, as one unit per
+    ending. A word never seen is emitted by the class of its ending with count 0. Of classes that suit a word equally
+    its own is kept, else the smallest taken.
+
+    A null or empty text is its end alone. Rows without ``doc_id`` are learnt from. Repeated rows count
+    each. No rows give no rows; other columns are ignored; texts are read whole. Where nothing is
+    left to learn from, every count is 0.
+    """
+    model = fit_classes(docs, classes, rounds, least_share, least)
+    step, train = log_steps(model.matrix, model.words), model.train
+    base = float(np.log10(train + model.distinct + 1))
 
     def finish(batch):
         score = []
-        for types, logs in zip(batch.column("types").to_pylist(), batch.column("logs").to_pylist()):
-            t = _sequence(types).astype(np.int64)
-            c = t % classes
-            if len(known):
-                at = np.minimum(np.searchsorted(known, t), len(known) - 1)
-                c = np.where(known[at] == t, class_of[at], c)
+        for packed, logs in zip(batch.column("classes").to_pylist(), batch.column("logs").to_pylist()):
+            c = _unpacked(packed, np.uint8)
             score.append(float(step[np.roll(c, 1), c].sum()) + logs)
         logs, n = batch.column("logs").to_numpy(), batch.column("n_tokens").to_numpy()
         return {
@@ -291,6 +433,6 @@ def class_scores(docs: DataFrame, classes: int = 32, rounds: int = 4, least_shar
         }
 
     return per_batch(
-        scored.select("doc_id", "held", "n_tokens", "n_known", "logs", "types"), finish,
+        model.sequences, finish,
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
     )

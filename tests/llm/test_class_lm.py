@@ -3,9 +3,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import xxhash
 
 import __spark_entry__ as E
-from biosieve.llm.class_lm import _phi, best_class, class_scores
+from biosieve.llm.class_lm import best_class, class_scores, exchange_classes, fit_classes, likelihood, shape
 
 
 def brute(rows):
@@ -57,23 +58,23 @@ def test_best_class():
     types, classes = 12, 3
     bigrams = rng.integers(0, 9, (types, types)).astype(float)
 
-    def likelihood(assigned):
+    def value(assigned):
         m = np.zeros((classes, classes))
         for a in range(types):
             for b in range(types):
                 m[assigned[a], assigned[b]] += bigrams[a, b]
-        return (_phi(m).sum() - _phi(m.sum(axis=1)).sum() - _phi(m.sum(axis=0)).sum()), m
+        return likelihood(m), m
 
     for _ in range(20):
         assigned = rng.integers(0, classes, types)
         t = int(rng.integers(types))
-        matrix = likelihood(assigned)[1]
+        matrix = value(assigned)[1]
         left, right = (np.bincount(assigned, weights=w, minlength=classes) for w in (bigrams[:, t], bigrams[t]))
         options = []
         for c in range(classes):
             moved = assigned.copy()
             moved[t] = c
-            options.append(likelihood(moved)[0])
+            options.append(value(moved)[0])
         assert math.isclose(options[best_class(int(assigned[t]), left, right, bigrams[t, t], matrix)], max(options), rel_tol=1e-12)
 
 
@@ -88,3 +89,66 @@ def test_nothing_to_learn_from(spark):
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 7 == 2)
     rows = class_scores(spark.createDataFrame([(held, "some words")], "doc_id long, text string")).collect()
     assert rows[0].train_tokens == 0 and rows[0].n_known == 0 and math.isfinite(rows[0].score)
+
+
+def sentences(n, seed=5):
+    """Texts of articles, nouns and verbs; most nouns and verbs are seen a few dozen times only."""
+    rng = np.random.default_rng(seed)
+    nouns, verbs = [f"n{i}" for i in rng.permutation(300)], [f"v{i}" for i in rng.permutation(300)]
+    return [(i, " ".join(f"the {nouns[rng.integers(300)]} {verbs[rng.integers(300)]}" for _ in range(20))) for i in range(n)]
+
+
+def test_exchange_never_lowers_the_likelihood(spark):
+    rng = np.random.default_rng(4)
+    counts = {(int(a), int(b)): int(n) for a, b, n in zip(rng.integers(0, 60, 900), rng.integers(0, 60, 900), rng.integers(1, 50, 900))}
+    of, matrix, path = exchange_classes(spark.createDataFrame([(*k, n) for k, n in counts.items()], "t1 int, t2 int, n long"), 6, 10)
+    again = np.zeros((6, 6))
+    for (a, b), n in counts.items():
+        again[of[a], of[b]] += n
+    assert (again == matrix).all() and math.isclose(likelihood(matrix), path[-1])
+    assert all(b >= a for a, b in zip(path, path[1:])) and path[-1] > path[0] and len(path) > 2
+
+
+def test_words_beyond_the_core(spark):
+    """Words under the share are clustered too; the likelihood and the held-out scores rise; scores equal a recount."""
+    rows = sentences(600)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    options = {"classes": 4, "least_share": 0.05}
+    plain, model = fit_classes(docs, least=10**9, **options), fit_classes(docs, least=10, **options)
+    assert likelihood(model.matrix) > likelihood(plain.matrix)
+    of = {r["word"]: r["class"] for r in model.assigned.collect()}
+    assert len(of) == 602 > plain.assigned.count()
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    split = {d: [*t.encode().split(), b"\n"] for d, t in rows}
+    number = lambda w: of.get(int(np.array(xxhash.xxh3_64_intdigest(w), np.uint64).view(np.int64)), int(model.shape_class[shape(w)]))
+    c = Counter(w for d, ws in split.items() if not held(d) for w in ws)
+    m, words = np.zeros((4, 4)), np.zeros(4)
+    for w in c:
+        words[number(w)] += 1
+    for d, ws in split.items():
+        for a, b in zip([ws[-1], *ws], ws):
+            m[number(a), number(b)] += not held(d)
+    assert (m == model.matrix).all() and (words == model.words).all()
+
+    def score(ws):
+        total, classes = 0.0, [number(w) for w in ws]
+        for w, a, b in zip(ws, [classes[-1], *classes], classes):
+            n, kinds = m[a].sum(), (m[a] > 0).sum()
+            share = n / (n + kinds) if n else 0
+            step = share * m[a, b] / max(n, 1) + (1 - share) * (m[:, b].sum() + 1) / (m.sum() + 4)
+            total += math.log10(step) + math.log10((c[w] + 1) / (m[:, b].sum() + words[b] + 1))
+        return total
+
+    got = {r.doc_id: r.score for r in class_scores(docs, least=10, **options).collect()}
+    assert all(math.isclose(got[d], score(ws), rel_tol=1e-9) for d, ws in split.items())
+    before = {r.doc_id: r.score for r in class_scores(docs, least=10**9, **options).collect()}
+    assert sum(got[d] for d in split if held(d)) > sum(before[d] for d in split if held(d))
+
+
+def test_clustered_share_grows_with_the_input(spark):
+    share = []
+    for n in (120, 350, 600):
+        model = fit_classes(spark.createDataFrame(sentences(n), "doc_id long, text string"), classes=4, least_share=0.05, least=20)
+        share.append(model.assigned.count() / model.distinct)
+    assert share[0] < 0.1 < share[1] < share[2] and share[2] > 0.95
