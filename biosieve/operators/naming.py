@@ -162,23 +162,26 @@ def _close_pairs(a: DataFrame, b: DataFrame, min_score: float, group: int = 256)
     A segment common to many names is divided into blocks of about ``group`` names on both sides. In the join, letter counts are
     compared first, then the parts before and behind the shared segment, each with its own budget; so
     next to nothing but pairs that are close is shuffled further.
+
+    Probes and index hold many rows for each name, while Spark's size estimates see the names alone and would
+    collect and broadcast either side through the driver. Each join on them is therefore named a merge join.
     """
     probes = _probes(a, "_a", min_score).withColumnRenamed("_sig", "_sa")
     index = _index(b, "_b", min_score).withColumnRenamed("_sig", "_sb")
     blocks = lambda c: F.ceil(F.col(c) / group).cast("int")
-    sizes = probes.groupBy("_key").agg(F.count(F.lit(1)).alias("_pn")).join(index.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")), "_key")
+    sizes = probes.groupBy("_key").agg(F.count(F.lit(1)).alias("_pn")).hint("merge").join(index.groupBy("_key").agg(F.count(F.lit(1)).alias("_in")), "_key")
     sizes = sizes.select(F.col("_key").alias("_k"), blocks("_pn").alias("_pb"), blocks("_in").alias("_ib"))
     upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     own = lambda name, c: F.pmod(F.xxhash64(F.col(name), F.lit(1)), F.col(c)).cast("int")
     key = ["_k", "_x", "_y"]
-    left = probes.join(sizes, F.col("_key") == F.col("_k")).withColumn("_x", own("_a", "_pb")).withColumn("_y", upto("_ib"))
-    right = index.join(sizes, F.col("_key") == F.col("_k")).withColumn("_y", own("_b", "_ib")).withColumn("_x", upto("_pb"))
+    left = probes.hint("merge").join(sizes, F.col("_key") == F.col("_k")).withColumn("_x", own("_a", "_pb")).withColumn("_y", upto("_ib"))
+    right = index.hint("merge").join(sizes, F.col("_key") == F.col("_k")).withColumn("_y", own("_b", "_ib")).withColumn("_x", upto("_pb"))
     left, right = left.select(*key, "_a", "_sa", "_t", "_i", "_at"), right.select(*key, "_b", "_sb", "_start", "_size")
     # an edit takes one letter away at most, and adds one at most
     alike = "bit_count(_sa & ~_sb) <= _t AND bit_count(_sb & ~_sa) <= _t"
     before = "levenshtein(substring(_a, 1, _at), substring(_b, 1, _start), _i) >= 0"
     behind = "levenshtein(substring(_a, _at + _size + 1), substring(_b, _start + _size + 1), _t - _i) >= 0"
-    met = spread(left, *key).join(spread(right, *key), key)
+    met = spread(left, *key).hint("merge").join(spread(right, *key), key)
     return met.filter(F.expr(f"{alike} AND {before} AND {behind}")).select("_a", "_b").distinct()
 
 
@@ -206,7 +209,7 @@ def resolve_names(names: DataFrame, reference: DataFrame, name: str = "submitted
     pairs = spread(pairs, "_a", "_b").withColumn("_d", edits).filter(F.col("_d") >= 0)
     score = 1 - F.col("_d") / F.greatest(longer, F.lit(1))
     return (
-        left.join(pairs, "_a")
+        left.join(pairs.hint("merge"), "_a")
         .join(right, "_b")
         .select("submitted_name", "matched_name", score.alias("score"), "data_source_title")
         .filter(F.col("score") >= min_score)
