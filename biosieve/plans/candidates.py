@@ -10,6 +10,7 @@ from biosieve.operators import filters as P
 from biosieve.operators.lists import anti_names
 from biosieve.operators.naming import remove_regulated, resolve_names
 from biosieve.operators.stats import first_per_key
+from biosieve.session import durable
 
 
 def candidate_funnel(
@@ -41,7 +42,13 @@ def rejected_names(names: DataFrame, reference: DataFrame, name: str = "submitte
 
     Returns ``submitted_name, score, n_matches``: the best score of each and how many reference names reach
     ``floor``. Names without any match from ``floor`` on are unknown rather than confused.
+
+    A name with a match from ``min_score`` on is never set aside, and the lower the score, the more pairs there are to
+    compare. So such names are found and left out first, and only the others are resolved down to ``floor``.
     """
+    if floor < min_score <= 1:
+        sure = durable(resolve_names(names, reference, name, min_score).select(F.col("submitted_name").alias("_sure")).distinct())
+        names = names.select(name).join(sure, F.col(name) == F.col("_sure"), "left_anti")
     resolved = resolve_names(names, reference, name, floor)
     best = resolved.groupBy("submitted_name").agg(F.max("score").alias("score"), F.count_distinct("matched_name").alias("n_matches"))
     return best.filter(F.col("score") < min_score)

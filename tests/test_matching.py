@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from biosieve.operators import matching as M
 from biosieve.operators import naming as N
+from biosieve.plans import candidates
 from biosieve.plans.climate import species_scores
 from biosieve.sources.geography import Grid
 from tests.conftest import rows
@@ -160,3 +161,19 @@ def test_spelling_join_sends_no_probes_through_the_driver(spark):
     assert len(out.collect()) == 2
     text = out._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in text and "BroadcastExchange" not in text
+
+
+def test_rejection_resolves_only_names_without_a_sure_match(spark, monkeypatch):
+    """Only names without a match from ``min_score`` on are resolved down to ``floor``; nulls and copies change nothing."""
+    names = spark.createDataFrame([("abramis brama",), ("abramis brXYz",), ("abramis brXYz",), ("qqqq",), (None,)], "submitted_name string")
+    refs = spark.createDataFrame([(n, "list") for n in ("abramis brama", "abramis brame", None)], "matched_name string, data_source_title string")
+    asked = []
+
+    def resolve(left, reference, name, least):
+        asked.append((least, {r[name] for r in left.collect()}))
+        return N.resolve_names(left, reference, name, least)
+
+    monkeypatch.setattr(candidates, "resolve_names", resolve)
+    got = rows(candidates.rejected_names(names, refs))
+    assert [(a, round(s, 6), n) for a, s, n in got] == [("abramis brXYz", round(1 - 3 / 13, 6), 2)]
+    assert [least for least, _ in asked] == [0.8, 0.7] and "abramis brama" not in asked[1][1]
