@@ -151,7 +151,7 @@ def _(spark, sf):
 def _(spark, sf):
     path = scratch_path(spark, "write_by_species")
     T.write_by_species(load(spark, sf, "occ").select("record_id", "species", "lon", "lat"), path)
-    return spark.read.parquet(path).select("record_id", F.col("species").cast("string").alias("species"), "lon", "lat")
+    return T.read_by_species(spark, path).select("record_id", F.col("species").cast("string").alias("species"), "lon", "lat")
 
 
 def _tree(spark, sf):
@@ -192,4 +192,4 @@ def _(spark, sf):
     first = records.join(records.filter("score >= 9").select("species").distinct(), "species", "left_semi")
     T.append_climate_scores(first, path, score)
     T.append_climate_scores(records, path, score)
-    return spark.read.parquet(path).select(F.col("species").cast("string").alias("species"), "score")
+    return T.read_by_species(spark, path).select(F.col("species").cast("string").alias("species"), "score")

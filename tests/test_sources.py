@@ -46,3 +46,21 @@ def test_pending_without_store(spark, tmp_path):
     df = spark.createDataFrame([("a",)], "species string")
     assert T.finished_species(spark, str(tmp_path / "none")) is None
     assert T.pending_species(df, None).count() == 1
+
+
+def test_species_are_written_by_all_tasks(spark, tmp_path):
+    """Few bytes in many species are shared out; a species over ``rows_per_file`` becomes several files; nulls stay."""
+    df = spark.range(2000).select("id", F.when(F.col("id") % 100 < 99, F.concat(F.lit("s"), F.col("id") % 100)).alias("species"))
+    df = df.unionByName(spark.range(2000, 3000).select("id", F.lit("s1").alias("species")))
+    tasks = {}
+    for rows_per_file in (1_000_000, 300):
+        store = str(tmp_path / str(rows_per_file))
+        T.write_by_species(df, store, rows_per_file=rows_per_file)
+        files = [(d, f) for d in os.listdir(store) if d.startswith("species=") for f in os.listdir(f"{store}/{d}") if f.startswith("part-")]
+        tasks[rows_per_file] = {f.split("-")[1] for _, f in files}
+        assert len(tasks[rows_per_file]) > 1
+        many = [f for d, f in files if d == "species=s1"]
+        assert len(many) > 1 if rows_per_file == 300 else len(many) == 1
+        assert len([d for d, _ in files if d != "species=s1"]) == 99
+        back = T.read_by_species(spark, store)
+        assert rows(back.select("id", F.col("species").cast("string").alias("species"))) == rows(df.select("id", "species"))
