@@ -23,9 +23,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from biosieve.llm.texts import id_and_text, per_batch, stored
+from biosieve.session import spread
 
 END = b"\n"  # no word holds a line feed
 SHAPES = 251
+_SHARE = 4096  # words placed by a task at once
 _WORD_TYPES = 1024  # types below are shapes, from here on places in the core
 
 
@@ -105,6 +107,10 @@ def _unpacked(packed: bytes, kind: type = np.int32) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), kind)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values.astype(np.int64).tobytes())
+
+
 def _list(table: pa.Table | pa.RecordBatch, name: str) -> np.ndarray:
     """The array column of a table of one row."""
     column = table.column(name)
@@ -256,11 +262,13 @@ def _matrix(pairs: DataFrame, classes: int) -> np.ndarray:
 def place_words(table: DataFrame, places: DataFrame, core: np.ndarray, core_class: np.ndarray, shape_class: np.ndarray, matrix: np.ndarray) -> DataFrame:
     """``word, class`` of the frequent words outside the core: each leaves its ending's class for its best one.
 
-    Blocks sum up the classes around each word, and the sums of the blocks are added before the shuffle, so
-    a word's size does not matter.
+    A block counts the classes around each of its words. Most of these counts are 0, so it sends the others only, packed
+    into a row for each share of the words; shares have ``_SHARE`` words or so, however many there are, and one adds up and
+    places the words of a share.
     """
     classes = len(matrix)
-    columns = [f"{side}{c}" for side in "lr" for c in range(classes)]
+    words = places.filter("word IS NOT NULL AND local > 0").select("block", "place", "word")
+    shares = 1 + places.filter("first AND word IS NOT NULL").count() // _SHARE
 
     def around(left: pa.Table, right: pa.Table) -> pa.Table:
         of = shape_class[_list(left, "shapes")]
@@ -268,56 +276,82 @@ def place_words(table: DataFrame, places: DataFrame, core: np.ndarray, core_clas
         at, is_core = _found(core, word)
         of[place[is_core]] = core_class[at[is_core]]
         place, word = place[~is_core], word[~is_core]
+        share = (word.view(np.uint64) % np.uint64(shares)).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        place, word, share = place[order], word[order], share[order]
         number = np.full(len(of), -1, np.int64)
         number[place] = np.arange(len(place))
         before, own = _steps(_unpacked(left.column("tokens")[0].as_py()), _list(left, "lengths"), _list(left, "held"))
-        count = lambda keep, key: np.bincount(key[keep], minlength=len(place) * classes).reshape(len(place), classes)
-        sides = [count(number[own] >= 0, number[own] * classes + of[before]), count(number[before] >= 0, number[before] * classes + of[own])]
+        # a key is a word's number, a side and a class there
+        keys = np.concatenate([
+            (number[own] * (2 * classes) + of[before])[number[own] >= 0],
+            (number[before] * (2 * classes) + classes + of[own])[number[before] >= 0],
+        ])
+        keys, n = np.unique(keys, return_counts=True)
         same = np.bincount(number[own][(own == before) & (number[own] >= 0)], minlength=len(place))
-        sums = np.concatenate(sides, axis=1).astype(np.int32)
-        return pa.table({"word": word, "own": of[place].astype(np.int32), "same": same} | {c: np.ascontiguousarray(sums[:, i]) for i, c in enumerate(columns)})
+        out = {c: [] for c in ("share", "words", "own", "same", "keys", "n")}
+        for k in np.unique(share):
+            a, z = np.searchsorted(share, [k, k + 1])
+            i, j = np.searchsorted(keys, [a * 2 * classes, z * 2 * classes])
+            rows = (word[a:z], of[place[a:z]], same[a:z], np.diff(keys[i:j] - a * 2 * classes, prepend=0), n[i:j])
+            for c, v in zip(out, (int(k), *(_packed(v) for v in rows))):
+                out[c].append(v)
+        return pa.table({"share": pa.array(out.pop("share"), pa.int32())} | {c: pa.array(v, pa.binary()) for c, v in out.items()})
+
+    def decide(table: pa.Table) -> pa.Table:
+        unpack = lambda c: [_unpacked(x, np.int64) for x in table.column(c).to_pylist()]
+        lists = unpack("words")
+        known, first = np.unique(np.concatenate(lists), return_index=True)
+        own, same = np.concatenate(unpack("own"))[first], np.zeros(len(known))
+        sums = np.zeros(len(known) * 2 * classes)
+        for word, s, keys, n in zip(lists, *map(table.column, ("same", "keys", "n"))):
+            at = np.searchsorted(known, word)
+            same[at] += _unpacked(s.as_py(), np.int64)
+            keys = np.cumsum(_unpacked(keys.as_py(), np.int64))
+            number, side = np.divmod(keys, 2 * classes)
+            sums[at[number] * 2 * classes + side] += _unpacked(n.as_py(), np.int64)
+        sums = sums.reshape(len(known), 2 * classes)
+        best = [best_class(int(o), v[:classes], v[classes:], float(z), matrix) for o, z, v in zip(own, same, sums)]
+        return pa.table({"word": known, "class": pa.array(best, pa.int32())})
 
-    schema = "word long, own int, same long, " + ", ".join(f"{c} int" for c in columns)
     texts = table.select("block", "shapes", "lengths", "held", "tokens")
-    words = places.filter("word IS NOT NULL").select("block", "place", "word")
-    counted = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(around, schema)
-    counted = counted.groupBy("word", "own").agg(F.sum("same").alias("same"), *(F.sum(c).alias(c) for c in columns))
-
-    def decide(batch):
-        own, same = batch.column("own").to_pylist(), batch.column("same").to_pylist()
-        sums = np.stack([batch.column(c).to_numpy() for c in columns], axis=1).astype(float)
-        best = [best_class(o, v[:classes], v[classes:], float(z), matrix) for o, z, v in zip(own, same, sums)]
-        return {"word": batch.column("word"), "class": best}
-
-    return per_batch(counted, decide, "word long, class int")
+    packed = "share int, words binary, own binary, same binary, keys binary, n binary"
+    counted = texts.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(around, packed)
+    # few rows, but much work for each: one task for each share where there are as many
+    return spread(counted, "share").groupBy("share").applyInArrow(decide, "word long, class int")
 
 
 def class_sequences(table: DataFrame, places: DataFrame, assigned: DataFrame, shape_class: np.ndarray) -> DataFrame:
-    """Per document: ``doc_id, held, n_tokens, n_known, logs, classes``.
+    """Per document: ``doc_id, held, n_tokens, n_known, logs, classes, core_classes``.
 
-    ``logs`` sums log10(count + 1) over the tokens, ``classes`` holds the class of each, compressed. A word that no other
-    block has needs no row: its count is the block's own, its class its ending's.
+    ``logs`` sums log10(count + 1) over the tokens, ``classes`` holds the class of each, compressed; for ``core_classes`` only
+    words marked ``core`` in ``assigned`` (``word, class, core``) leave their ending's class. A word that no other block has
+    needs no row: its count is the block's own, its class its ending's.
     """
-    frequent = places.filter("word IS NOT NULL").join(assigned, "word", "left").select("block", "place", "n", "class")
-    rare = places.filter("word IS NULL AND n <> local").select("block", "place", "n", F.lit(None).cast("int").alias("class"))
+    frequent = places.filter("word IS NOT NULL").join(assigned, "word", "left").select("block", "place", "n", "class", "core")
+    rare = places.filter("word IS NULL AND n <> local").select("block", "place", "n", F.lit(None).cast("int").alias("class"), F.lit(None).cast("boolean").alias("core"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         n, of = _list(left, "counts").astype(np.int64), shape_class[_list(left, "shapes")]
         place = right.column("place").to_numpy()
         n[place] = right.column("n").to_numpy()
         named = right.column("class").is_valid().to_numpy(zero_copy_only=False).astype(bool)
-        of[place[named]] = right.column("class").drop_null().to_numpy()
+        named_class = right.column("class").drop_null().to_numpy()
+        is_core = right.column("core").drop_null().to_numpy(zero_copy_only=False).astype(bool)
+        of_core = of.copy()
+        of[place[named]] = named_class
+        of_core[place[named][is_core]] = named_class[is_core]
         tokens, lengths = _unpacked(left.column("tokens")[0].as_py()), _list(left, "lengths").astype(np.int64)
         starts = np.cumsum(lengths) - lengths
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        seq = of.astype(np.uint8)[tokens]
+        split = lambda seq: pa.array([squeeze(seq[a : a + z].tobytes()) for a, z in zip(starts, lengths)], pa.binary())
         return pa.table({
             "doc_id": pa.array(left.column("doc_ids")[0].as_py(), pa.int64()), "held": pa.array(_list(left, "held")), "n_tokens": lengths,
             "n_known": np.add.reduceat((n > 0)[tokens].astype(np.int64), starts), "logs": np.add.reduceat(np.log10(n + 1.0)[tokens], starts),
-            "classes": pa.array([squeeze(seq[a : a + z].tobytes()) for a, z in zip(starts, lengths)], pa.binary()),
+            "classes": split(of.astype(np.uint8)[tokens]), "core_classes": split(of_core.astype(np.uint8)[tokens]),
         })
 
-    schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, classes binary"
+    schema = "doc_id long, held boolean, n_tokens long, n_known long, logs double, classes binary, core_classes binary"
     texts = table.select("block", "shapes", "counts", "doc_ids", "held", "lengths", "tokens")
     return texts.groupBy("block").cogroup(frequent.unionByName(rare).groupBy("block")).applyInArrow(score, schema)
 
@@ -371,17 +405,18 @@ def fit_classes(docs: DataFrame, classes: int = 32, rounds: int = 8, least_share
     core_class = np.array([of[_WORD_TYPES + i] for i in range(len(core))], np.int64)
     assigned = spark.createDataFrame([(int(w), int(c)) for w, c in zip(core, core_class)], "word long, class int")
 
-    sequences = None
+    named = assigned.withColumn("core", F.lit(True))
     if low < share:
-        more = assigned.unionByName(stored(place_words(table, places, core, core_class, shape_class, matrix), "word-classes"))
-        sequences = stored(class_sequences(table, places, more, shape_class), "class-sequences", compression="uncompressed")
-        moved = class_transitions(sequences, classes)
-        if likelihood(moved) >= likelihood(matrix):
-            assigned, matrix = more, moved
-        else:
-            sequences = None
-    if sequences is None:
-        sequences = stored(class_sequences(table, places, assigned, shape_class), "class-sequences", compression="uncompressed")
+        more = stored(place_words(table, places, core, core_class, shape_class, matrix), "word-classes")
+        named = named.unionByName(more.withColumn("core", F.lit(False)))
+    # with and without the moves, so that the texts pass once whichever is taken
+    sequences = stored(class_sequences(table, places, named, shape_class), "class-sequences", compression="uncompressed")
+    moved = class_transitions(sequences, classes) if low < share else matrix
+    if low < share and likelihood(moved) >= likelihood(matrix):
+        assigned, matrix = named.drop("core"), moved
+        sequences = sequences.drop("core_classes")
+    else:
+        sequences = sequences.withColumn("classes", F.col("core_classes")).drop("core_classes")
 
     # each word is counted in its first block, as its own class or with its ending
     kinds = places.filter("first AND n > 0").join(assigned, "word", "left").groupBy("class", F.when(F.col("class").isNull(), F.col("shape")).alias("shape"))

@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 import __spark_entry__ as E
+from biosieve.llm import class_lm
 from biosieve.llm.class_lm import best_class, class_scores, exchange_classes, fit_classes, likelihood, shape
 
 
@@ -152,3 +153,40 @@ def test_clustered_share_grows_with_the_input(spark):
         model = fit_classes(spark.createDataFrame(sentences(n), "doc_id long, text string"), classes=4, least_share=0.05, least=20)
         share.append(model.assigned.count() / model.distinct)
     assert share[0] < 0.1 < share[1] < share[2] and share[2] > 0.95
+
+
+def texts_of_frequent_words(spark):
+    """24 words of 80 places, 200 of 5, dealt over three batches."""
+    rng = np.random.default_rng(5)
+    words = [f"often{i}x" for i in range(24)] * 80 + [f"seldom{i}y" for i in range(200)] * 5
+    words = rng.permutation(words)
+    rows = [(i, " ".join(words[k : k + 20])) for i, k in enumerate(range(0, len(words), 20))]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+
+
+def test_blocks_send_a_row_for_each_share(spark, monkeypatch):
+    """What a block sends does not grow with its words, and the number of shares changes no class."""
+    docs, sent = texts_of_frequent_words(spark), []
+
+    def spread(rows, *keys):
+        sent.append((rows.count(), rows.select("share").distinct().count()))
+        return rows
+
+    monkeypatch.setattr(class_lm, "spread", spread)
+    fit = lambda: {r["word"]: r["class"] for r in fit_classes(docs, classes=4, rounds=4, least_share=0.2, least=50).assigned.collect()}
+    monkeypatch.setattr(class_lm, "class_transitions", lambda *_: np.zeros((4, 4)))  # its likelihood is 0: all moves are taken
+    whole = fit()
+    monkeypatch.setattr(class_lm, "_SHARE", 5)
+    assert fit() == whole and len(whole) == 25  # the end too
+    assert sent[0] == (3, 1)
+    assert 3 <= sent[1][1] <= 6 and sent[1][0] <= 3 * sent[1][1]
+
+
+def test_texts_pass_once_where_the_moves_are_taken_back(spark, monkeypatch):
+    docs, calls, real = texts_of_frequent_words(spark), [], class_lm.class_sequences
+    scores = lambda least: sorted((r.doc_id, r.score, r.base_score) for r in class_scores(docs, classes=4, rounds=4, least_share=0.05, least=least).collect())
+    plain = scores(10**9)
+    monkeypatch.setattr(class_lm, "class_sequences", lambda *a: calls.append(1) or real(*a))
+    monkeypatch.setattr(class_lm, "class_transitions", lambda *_: np.full((4, 4), 1e9))  # far from likely
+    assert np.allclose(scores(50), plain, rtol=1e-12)
+    assert len(calls) == 1
