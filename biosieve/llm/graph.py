@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biosieve.session import durable
 
+_EDGES = 100_000  # in a file at least
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -40,6 +44,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if state == seen or state[0] == 0:
             break
         seen = state
-        edges = durable(_small_star(_large_star(edges)))
+        # no step adds edges; every file costs the file system more than a few edges cost a task
+        edges = durable(_small_star(_large_star(edges)).coalesce(math.ceil(state[0] / _EDGES)))
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 
 import __spark_entry__ as E
-from biosieve.llm import near_dup
+from biosieve.llm import graph, near_dup
 from biosieve.llm.graph import components
 from biosieve.llm.near_dup import drop_near_duplicates, near_duplicates, table_width
 
@@ -103,3 +103,20 @@ def test_components(spark):
 
 def test_width():
     assert table_width(85, 1e-4) == 8 and table_width(80, 1e-4) == 10
+
+
+def test_components_write_few_files(spark, monkeypatch):
+    """Links of a small input are not dealt over a file for each shuffle partition, round after round."""
+    parts, real = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df: parts.append((out := real(df)).rdd.getNumPartitions()) or out)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.component for r in components(spark.createDataFrame([(i, i + 1) for i in range(1, 40)], "a long, b long")).collect()}
+        assert got == {i: 1 for i in range(1, 41)}
+        assert len(parts) > 2 and set(parts[1:]) == {1}
+        parts.clear()
+        monkeypatch.setattr(graph, "_EDGES", 10)  # more links, more files
+        components(spark.createDataFrame([(1, i) for i in range(2, 33)], "a long, b long"))
+        assert set(parts[1:]) == {4}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
