@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biosieve.llm import elias_fano
-from biosieve.llm.texts import id_and_text, per_batch
+from biosieve.llm.texts import id_and_text, kept_by_worker, per_batch
 from biosieve.session import scratch_path
 
 _BLOCK = "part int, block int, at long, n_docs long, n_null long, n_ids long, width int, least long, doc_ids binary, ends binary, ids binary"
@@ -116,16 +116,6 @@ class Encoder:
         return b"".join(found) + self.end
 
 
-_encoders: dict[tuple, Encoder] = {}
-
-
-def _encoder(path: str, end_id: int) -> Encoder:
-    """One per Python worker, so that what it has learnt serves later tasks."""
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, block_ids: int = 1 << 20) -> None:
     """Encode every text, append ``end_id`` to each and write the ids in ascending order of ``doc_id``.
 
@@ -141,7 +131,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json
     state = {}
 
     def blocks(batch):
-        encoder = _encoder(tokenizer, end_id)
+        encoder = kept_by_worker("encoder", lambda: Encoder(tokenizer, end_id))  # what it has learnt serves later tasks of this call
         part = TaskContext.get().partitionId()
         out = {c.split()[0]: [] for c in _BLOCK.split(", ")}
         held: list[tuple] = []

@@ -1,3 +1,5 @@
+import gc
+import os
 import random
 import zlib
 
@@ -8,6 +10,7 @@ from hypothesis import strategies as st
 
 import __spark_entry__ as E
 from biosieve.llm import elias_fano
+from biosieve.llm.texts import kept_by_worker, per_batch
 from biosieve.llm.token_output import Encoder, encode_corpus, read_document, read_documents, write_tokens
 from biosieve.session import scratch_path
 
@@ -82,3 +85,21 @@ def test_one_document_by_select(spark, odd, odd_rows, library):
         want = sorted([*library.encode(t or "", add_special_tokens=False).ids, 0] for d, t, *_ in odd_rows if d == doc)
         assert sorted(i.tolist() for i in read_document(spark, path, doc)) == want
     assert read_document(spark, path, 4711) == [] and read_document(spark, path, -1) == []
+
+
+def test_workers_drop_what_was_learnt(spark, documents):
+    """An encoder serves the tasks of one call; a worker that goes on to another operator holds none."""
+    encode_corpus(documents).collect()
+    found = lambda batch: {"n": [sum(isinstance(o, Encoder) for o in gc.get_objects())] * batch.num_rows}
+    assert {r.n for r in per_batch(spark.range(0, 100, 1, 20), found, "n long").collect()} == {0}
+
+    def learn(batch):
+        seen = kept_by_worker("seen", list)
+        seen.append(1)
+        return {"worker": [os.getpid()] * batch.num_rows, "n": [len(seen)] * batch.num_rows}
+
+    for _ in range(2):
+        rows = per_batch(spark.range(0, 20, 1, 20), learn, "worker long, n long").collect()
+        for worker in {r.worker for r in rows}:
+            own = sorted(r.n for r in rows if r.worker == worker)
+            assert own == list(range(1, len(own) + 1))
